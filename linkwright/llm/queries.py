@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, packing
 
-QUERIES = {"op8_line_dedup": line_dedup.query}
+QUERIES = {
+    "op6_best_fit_packing": packing.query,
+    "op8_line_dedup": line_dedup.query,
+}
 
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op8_line_dedup": line_dedup.ORACLE,
+}
