@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing
+from . import byte_bpe, line_dedup, packing
 
 QUERIES = {
     "op6_best_fit_packing": packing.query,
+    "op7_byte_bpe": byte_bpe.query,
     "op8_line_dedup": line_dedup.query,
 }
 
