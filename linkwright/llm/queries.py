@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, packing
+from . import byte_bpe, line_dedup, minhash, packing
 
 QUERIES = {
+    "op2_minhash_dedup": minhash.query,
     "op6_best_fit_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
+    "op2_minhash_dedup": minhash.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
