@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, minhash, packing
+from . import byte_bpe, line_dedup, minhash, packing, toxicity
 
 QUERIES = {
     "op2_minhash_dedup": minhash.query,
     "op6_best_fit_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES = {
