@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -31,11 +32,27 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose new words go into one query.
 STRETCH_CHARS = 4_000_000
 #: Words that a worker keeps, and the longest word it keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 64
 MEMORY = "400MB"
 
-_ENCODE = """
+#: The leftmost pair of least rank: rank, position and next position in one integer, so that one minimum finds it.
+_ONE = """
+WITH RECURSIVE state(word, pos, tok, step) AS (
+  SELECT word, pos, tok, 0 FROM words
+  UNION ALL
+  (WITH pairs AS MATERIALIZED (
+     SELECT s.word, s.pos, s.tok, s.step, (m.rank::BIGINT << 32) | (s.pos << 16) | s.after AS pair
+     FROM (SELECT *, lead(tok) OVER w AS nxt, lead(pos) OVER w AS after FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+     LEFT JOIN merges m ON s.tok = m.l AND s.nxt = m.r),
+   best AS (SELECT word, min(pair) AS pair FROM pairs WHERE pair IS NOT NULL GROUP BY word)
+   SELECT p.word, p.pos, CASE WHEN p.pos = (b.pair >> 16) & 65535 THEN (b.pair >> 32)::INTEGER ELSE p.tok END, p.step + 1
+   FROM pairs p JOIN best b ON p.word = b.word WHERE p.pos <> b.pair & 65535)
+)
+SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON s.word = l.word AND s.step = l.step ORDER BY s.word, s.pos
+"""
+#: For long words: all pairs of the least rank that do not overlap with one before, where that is safe; else the leftmost.
+_ALL = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
   SELECT word, pos, tok, 0 FROM words
   UNION ALL
@@ -43,26 +60,19 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
      SELECT s.word, s.pos, s.tok, s.step, m.rank, m.apart
      FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state) s
      LEFT JOIN merges m ON s.tok = m.l AND s.nxt = m.r),
-   best AS (
-     SELECT word, min(rank) AS rank, min_by(pos, (rank::BIGINT << 32) + pos) AS pos, bool_or(apart AND rank IS NOT NULL) AS maybe
-     FROM pairs WHERE rank IS NOT NULL GROUP BY word),
+   best AS (SELECT word, min(rank) AS rank, min_by(pos, (rank::BIGINT << 32) + pos) AS pos FROM pairs WHERE rank IS NOT NULL GROUP BY word),
    near AS (
      SELECT p.word, p.pos, p.tok, p.step, b.rank, p.rank IS NOT NULL AND p.rank = b.rank AS candidate, p.pos = b.pos AS leftmost, coalesce(p.apart, false) AS apart
      FROM pairs p JOIN best b ON p.word = b.word),
-   taken AS ({taken})
+   taken AS (
+     SELECT *, CASE WHEN apart THEN candidate AND (row_number() OVER (PARTITION BY word, candidate, run ORDER BY pos)) % 2 = 1 ELSE leftmost END AS take
+     FROM (SELECT *, nth - row_number() OVER (PARTITION BY word, candidate ORDER BY pos) AS run
+           FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM near)))
    SELECT word, pos, CASE WHEN take THEN rank ELSE tok END, step + 1
    FROM (SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS eaten FROM taken)
    WHERE NOT eaten)
 )
-SELECT word, tok FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last ORDER BY word, pos
-"""
-#: Only the leftmost pair.
-_ONE = "SELECT *, leftmost AS take FROM near"
-#: All pairs of the least rank that do not overlap with one before, where that is safe; else the leftmost.
-_ALL = """
-SELECT *, CASE WHEN apart THEN candidate AND (row_number() OVER (PARTITION BY word, candidate, run ORDER BY pos)) % 2 = 1 ELSE leftmost END AS take
-FROM (SELECT *, nth - row_number() OVER (PARTITION BY word, candidate ORDER BY pos) AS run
-      FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM near))
+SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON s.word = l.word AND s.step = l.step ORDER BY s.word, s.pos
 """
 #: Bytes from which on a word counts as long.
 LONG = 48
@@ -79,7 +89,7 @@ class Bpe:
     """The vocabulary and the merge table in a DuckDB of one Python worker."""
 
     def __init__(self, path: str):
-        ranks = read_ranks(path)
+        self.ranks = ranks = read_ranks(path)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
         early = {part for l, r, rank in merges for part in (l, r) if rank < part}
@@ -100,7 +110,13 @@ class Bpe:
         """Each word's ids, packed as little-endian unsigned 32-bit integers."""
         found: list[bytes] = [b""] * len(words)
         raw = [w.encode() for w in words]
-        for query, chosen in ((_ONE, [i for i, w in enumerate(raw) if len(w) < LONG]), (_ALL, [i for i, w in enumerate(raw) if len(w) >= LONG])):
+        rest = []
+        for i, w in enumerate(raw):
+            if (whole := self.ranks.get(w)) is None:
+                rest.append(i)
+            else:
+                found[i] = whole.to_bytes(4, "little")  # a word that is a token is not merged from its bytes
+        for query, chosen in ((_ONE, [i for i in rest if len(raw[i]) < LONG]), (_ALL, [i for i in rest if len(raw[i]) >= LONG])):
             if not chosen:
                 continue
             lengths = np.array([len(raw[i]) for i in chosen])
@@ -108,7 +124,7 @@ class Bpe:
             pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
             tok = self.bytes[np.frombuffer(b"".join(raw[i] for i in chosen), np.uint8)]
             self._keep("words", {"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)})
-            out = self.db.execute(_ENCODE.format(taken=query)).fetchnumpy()
+            out = self.db.execute(query).fetchnumpy()
             ids, ends = np.asarray(out["tok"]).astype("<u4"), np.searchsorted(np.asarray(out["word"]), np.arange(len(chosen) + 1))
             for k, i in enumerate(chosen):
                 found[i] = ids[ends[k] : ends[k + 1]].tobytes()
@@ -132,18 +148,14 @@ class Bpe:
         ids = dict(zip(fresh, self.encode_words(fresh), strict=True))
         new = list({p for p in ids.values() if p not in self.decoded})
         decoded = dict(zip(new, self.decode_words(new), strict=True)) if new else {}
-        if len(self.ids) + len(ids) > CACHE_ENTRIES:
-            ids = {w: self.ids[w] for w in words if w in self.ids} | ids
-            decoded = {p: self.decoded[p] for p in set(ids.values()) if p in self.decoded} | decoded
-            self.ids, self.decoded = {}, {b"": b""}
-        for w, p in ids.items():
-            if len(w) <= CACHE_CHARS:
-                self.ids[w] = p
-                self.decoded[p] = decoded.get(p) or self.decoded[p]
-        long = {w: p for w, p in ids.items() if w not in self.ids}
-        if not long:
+        room = max(0, CACHE_ENTRIES - len(self.ids))  # once it is full the words met first, the frequent ones, stay
+        for w, p in islice(((w, p) for w, p in ids.items() if len(w) <= CACHE_CHARS), room):
+            self.ids[w] = p
+            self.decoded[p] = decoded.get(p) or self.decoded[p]
+        if all(w in self.ids for w in fresh):
             return self.ids, self.decoded
-        return {w: self.ids.get(w) or ids[w] for w in words}, self.decoded | {p: decoded[p] for p in long.values() if p in decoded}
+        own = {w: self.ids.get(w) or ids[w] for w in words}
+        return own, {p: self.decoded.get(p) or decoded[p] for p in own.values()}
 
 
 _WORKER: dict[str, Bpe] = {}
