@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, minhash, packing, toxicity
+from . import byte_bpe, line_dedup, minhash, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_minhash_dedup": minhash.query,
+    "op5_pii_surrogates": pii.query,
     "op6_best_fit_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_line_dedup": line_dedup.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op2_minhash_dedup": minhash.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
