@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, minhash, packing, pii, toxicity, url_filter
+from . import byte_bpe, html_extract, line_dedup, minhash, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_minhash_dedup": minhash.query,
+    "op3_html_extract": html_extract.query,
     "op5_pii_surrogates": pii.query,
     "op6_best_fit_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_minhash_dedup": minhash.ORACLE,
+    "op3_html_extract": html_extract.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
