@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, line_dedup, minhash, packing, pii, toxicity, url_filter
+from . import byte_bpe, html_extract, line_dedup, minhash, packing, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_minhash_dedup": minhash.query,
     "op3_html_extract": html_extract.query,
+    "op4_quality_rules": quality.query,
     "op5_pii_surrogates": pii.query,
     "op6_best_fit_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
