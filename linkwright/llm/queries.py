@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, line_dedup, minhash, packing, pii, quality, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, html_extract, line_dedup, minhash, packing, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.query,
     "op8_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
+    "op10_embedding_dedup": embedding_dedup.query,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op2_minhash_dedup": minhash.ORACLE,
     "op3_html_extract": html_extract.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
 }
