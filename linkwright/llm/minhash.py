@@ -310,6 +310,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def first_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; all columns stay.
+
+    Rows that repeat a doc_id and text are one document, and stay or go together.
+    """
+    gone = near_duplicates(spark, docs, words, percent).where("NOT kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("text_key").alias("_gone"))
+    at, gone_at = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = [not keys or text_key(text) not in keys for text, keys in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(stays, pa.bool_())).select(docs_columns)
+
+    docs_columns = docs.columns
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(*docs_columns, "_gone")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_key")
 
