@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from .plans import blocking
+
+_PLANS = (blocking,)
 
 
 def queries() -> dict[str, Callable]:
-    return QUERIES
+    return {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
