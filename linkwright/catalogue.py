@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import blocking
+from .plans import blocking, scored_pairs
 
-_PLANS = (blocking,)
+_PLANS = (blocking, scored_pairs)
 
 
 def queries() -> dict[str, Callable]:
