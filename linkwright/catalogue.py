@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import blocking, scored_pairs
+from .plans import blocking, names, scored_pairs
 
-_PLANS = (blocking, scored_pairs)
+_PLANS = (blocking, scored_pairs, names)
 
 
 def queries() -> dict[str, Callable]:
