@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import blocking, names, scored_pairs
+from .plans import blocking, names, rules, scored_pairs, vectors
 
-_PLANS = (blocking, scored_pairs, names)
+_PLANS = (blocking, scored_pairs, names, rules, vectors)
 
 
 def queries() -> dict[str, Callable]:

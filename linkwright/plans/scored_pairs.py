@@ -91,7 +91,7 @@ def country_thresholds(spark, sf_dir):
     customers = adapters.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nations = adapters.table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("ctry"))
     home = orders.join(customers, "c_custkey").join(nations, "n_nationkey").select("q", "ctry")
-    return D.country_thresholds(_pairs(spark, sf_dir).join(home, "q"), {"india": 0.4, "france": 0.1}, THRESHOLD)
+    return D.country_thresholds(_pairs(spark, sf_dir).join(home, "q"), {"nation_8": 0.4, "nation_6": 0.1}, THRESHOLD)
 
 
 def match_lists(spark, sf_dir):
@@ -217,7 +217,7 @@ ORACLES = {
     "best_threshold": f"{_SWEEP} SELECT * FROM sweep ORDER BY macro_f DESC, threshold LIMIT 1",
     "capacity_cap": f"{_X} SELECT q, pid, src, p, label FROM own QUALIFY row_number() OVER (PARTITION BY q, src ORDER BY p DESC, pid) <= CASE src WHEN 2 THEN 1 ELSE 2 END",
     "country_thresholds": f"""{_P}, h AS (SELECT o_orderkey AS q, lower(n_name) AS ctry FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
-      t AS (SELECT p.*, h.ctry, CASE h.ctry WHEN 'india' THEN 0.4::DOUBLE WHEN 'france' THEN 0.1::DOUBLE ELSE {THRESHOLD}::DOUBLE END AS own FROM pairs p JOIN h ON h.q = p.q)
+      t AS (SELECT p.*, h.ctry, CASE h.ctry WHEN 'nation_8' THEN 0.4::DOUBLE WHEN 'nation_6' THEN 0.1::DOUBLE ELSE {THRESHOLD}::DOUBLE END AS own FROM pairs p JOIN h ON h.q = p.q)
       SELECT q, pid, src, label, ctry, CASE WHEN p >= own THEN greatest(p, {THRESHOLD}::DOUBLE) ELSE least(p, {THRESHOLD}::DOUBLE - 1e-6::DOUBLE) END AS p FROM t""",
     "match_lists": f"{_X} SELECT u.q, coalesce(string_agg(o.pid, ',' ORDER BY o.pid), '') AS matched FROM universe u LEFT JOIN own o ON o.q = u.q GROUP BY u.q",
     "candidate_lists": f"{_P}, {_SHORT} SELECT u.q, coalesce(string_agg(o.pid, ',' ORDER BY o.pid), '') AS candidates FROM universe u LEFT JOIN short o ON o.q = u.q GROUP BY u.q",
