@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import blocking, names, rules, scored_pairs, vectors
+from .plans import blocking, names, outputs, rules, scored_pairs, vectors
 
-_PLANS = (blocking, scored_pairs, names, rules, vectors)
+_PLANS = (blocking, scored_pairs, names, rules, vectors, outputs)
 
 
 def queries() -> dict[str, Callable]:
