@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import similarity as S, text as T
 
@@ -156,9 +158,6 @@ def street_words(records: DataFrame, key: str, rare: DataFrame) -> DataFrame:
 
 def street_relation(pairs: DataFrame, floor: float = 80) -> DataFrame:
     """st: 0 same street (a shared rare word, or two alike), 1 another one, 2 unknown; from a_street and b_street."""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType
-
     @F.pandas_udf(BooleanType())
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([any(S.ratio(u, v) >= floor for u in p for v in q) for p, q in zip(x, y, strict=True)])
