@@ -37,12 +37,12 @@ MIN_DOCS = 5
 STEMS = range(3, 8)
 #: Features kept, by the strength of their association with the label.
 FEATURES = 400
-ROUNDS = 500
+ROUNDS = 1500
 PENALTY = 0.002
 #: Twice the log likelihood ratio by which a feature tells toxic from clean documents, at least.
 SURE = 14.0
 #: Words whose features a worker keeps.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 #: Capitals become small and ASCII signs become blanks, all in one pass over the bytes.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -66,9 +66,7 @@ class Known(dict):
 
     def __missing__(self, word: bytes) -> tuple[bytes, ...]:
         value = tuple(f for f in features(word) if f in self.only)
-        if len(word) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+        if len(word) <= 64 and len(self) < CACHE_ENTRIES:
             self[word] = value
         return value
 
@@ -109,9 +107,15 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: flo
 
     The first threshold is free and the others lie above it by exponentials; accelerated gradient ascent.
     """
-    levels = int(y.max())
+    levels, total = int(y.max()), len(y)
+    # examples of one grade without any feature, most of them, count as one
+    plain = ~x.any(1)
+    grades_seen, numbers = np.unique(y[plain], return_counts=True)
+    weight = np.concatenate([np.ones(int((~plain).sum())), numbers])
+    mean_at_least = [np.mean(y >= k) for k in range(1, levels + 1)]
+    x, y = np.vstack([x[~plain], np.zeros((len(grades_seen), x.shape[1]))]), np.concatenate([y[~plain], grades_seen])
     w = np.zeros(x.shape[1])
-    rate = np.clip([np.mean(y >= k) for k in range(1, levels + 1)], 1e-4, 1 - 1e-4)
+    rate = np.clip(mean_at_least, 1e-4, 1 - 1e-4)
     base = -np.log(rate / (1 - rate))
     t = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 0.05))])
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
@@ -123,12 +127,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: flo
         rows = np.arange(len(y))
         p = np.maximum(up[rows, y] - up[rows, y + 1], 1e-9)
         slope = up * (1 - up)
-        by_z = (slope[rows, y] - slope[rows, y + 1]) / p
-        by_cut = np.array([(-(slope[:, k] / p)[y == k].sum() + (slope[:, k] / p)[y == k - 1].sum()) for k in range(1, levels + 1)]) / len(y)
+        by_z = weight * (slope[rows, y] - slope[rows, y + 1]) / p
+        each = weight[:, None] * slope / p[:, None]
+        by_cut = np.array([each[y == k - 1, k].sum() - each[y == k, k].sum() for k in range(1, levels + 1)]) / total
         grad_t = np.concatenate([[by_cut.sum()], [np.exp(t[j]) * by_cut[j:].sum() for j in range(1, levels)]])
-        grad = np.concatenate([x.T @ by_z / len(y) - penalty * w / math.sqrt(len(y)), grad_t])
+        grad = np.concatenate([x.T @ by_z / total - penalty * w / math.sqrt(total), grad_t])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = 0.08 * (1 - 0.9 * step / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += move[: len(w)]
         t += move[len(w) :]
     return w, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])

@@ -1,0 +1,73 @@
+"""The registered queries against their DuckDB SQL, and the pipeline against a plain Python version."""
+
+import os
+from collections import defaultdict
+
+import duckdb
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from linkwright.llm import minhash, pii, queries, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    found = con.execute(queries.ORACLES[name])
+    at = [[d[0] for d in found.description].index(c) for c in columns]
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in found.fetchall())
+
+
+def test_all_ten_are_registered():
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11)) and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "pii", "packing"]
+
+
+def test_pipeline_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    at_least = model.scorer()
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {i: t for i, t in rows.items() if not model.thresholds or at_least(t)[0] < toxicity.REJECT}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(fold)
+    holders = defaultdict(set)
+    for i, t in rows.items():
+        for x in t.split("\n"):
+            holders[key(x)].add(i)
+    rows = {i: "\n".join(x for x in t.split("\n") if not (len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and i != max(holders[key(x)]))) for i, t in rows.items()}
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in rows.items()}
+    parent = {i: i for i in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in rows:
+        for j in rows:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    rows = {i: t for i, t in rows.items() if find(i) == i}
+    clean = pii.with_surrogates(spark, spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert any(r["text"] != rows[r["doc_id"]] for r in clean)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted((r["doc_id"], len(t.encode(r["text"], add_special_tokens=False).ids) + 1) for r in clean)
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r["doc_id"]] += r["length"]
+    assert sorted(got.items()) == want
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
