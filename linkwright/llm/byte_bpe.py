@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tune
+from .common import table, tune, worker_cache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose new words go into one query.
@@ -158,13 +158,8 @@ class Bpe:
         return own, {p: self.decoded.get(p) or decoded[p] for p in own.values()}
 
 
-_WORKER: dict[str, Bpe] = {}
-
-
 def worker_bpe(path: str) -> Bpe:
-    if path not in _WORKER:
-        _WORKER[path] = Bpe(path)
-    return _WORKER[path]
+    return worker_cache(f"bpe {path}", lambda: Bpe(path))
 
 
 def stretches(texts: list[str | None]) -> Iterator[list[str | None]]:

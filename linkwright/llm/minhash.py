@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, partitions, table, tune
+from .common import materialise, partitions, table, tune, worker_cache
 from .components import components
 from .line_dedup import text_key
 
@@ -39,7 +39,7 @@ BLOCK = 512
 #: Shingles whose coordinates are computed at once, and cells of one incidence matrix.
 CHUNK = 400_000
 CELLS = 16_000_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 _RNG = np.random.default_rng(20240607)
 _SALTS = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -53,14 +53,13 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+        if len(word) <= 64 and len(self) < CACHE_ENTRIES:  # the words met first, the frequent ones, stay
             self[word] = value
         return value
 
 
-_HASHES = WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(worker_cache("words", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -68,7 +67,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    one = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    one = word_hashes(found)
     if len(found) < words:
         one = np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
     else:

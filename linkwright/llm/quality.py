@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialise, table, tune
-from .minhash import WordHashes
+from .minhash import word_hashes
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -45,7 +45,6 @@ _P = len(STATISTICS)
 
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
-_HASHES = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +53,7 @@ def repeated_words(found: list[bytes], window: int = 3) -> int:
     n = len(found) - window + 1
     if n < 2:
         return 0
-    one = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    one = word_hashes(found)
     mixed = one[:n].copy()
     for k in range(1, window):
         mixed = mixed * _STEP + one[k : k + n]
