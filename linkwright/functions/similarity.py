@@ -43,8 +43,13 @@ def partial_ratio(a: str, b: str) -> float:
     def best(x: str, y: str) -> float:
         if x in y:
             return 100.0
-        ends = ((max(0, e - len(x)), min(e, len(y))) for e in range(1, len(y) + len(x)))
-        return max(ratio(x, y[i:j]) for i, j in ends)
+        # a stretch that ends (or, cut at the end, starts) with a letter that x lacks is no better than its neighbour
+        letters, n, top = set(x), len(x), 0.0
+        for e in range(1, len(y) + n):
+            i, j = max(0, e - n), min(e, len(y))
+            if (y[j - 1] if e <= len(y) else y[i]) in letters and 200.0 * min(n, j - i) / (n + j - i) > top:
+                top = max(top, ratio(x, y[i:j]))
+        return top
 
     top = best(short, long)
     return max(top, best(long, short)) if m == len(long) and top < 100 else top
@@ -117,7 +122,9 @@ def measures(a: Column, b: Column, *names: str) -> Column:
     @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in names]))
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         rows = list(zip(x.fillna(""), y.fillna(""), strict=True))
-        return pd.DataFrame({n: [f(p, q) for p, q in rows] for n, f in chosen.items()})
+        # frequent names meet again and again: each distinct pair of a batch is measured once
+        once = {pair: [f(*pair) for f in chosen.values()] for pair in set(rows)}
+        return pd.DataFrame([once[pair] for pair in rows], columns=list(chosen))
 
     return run(a, b)
 

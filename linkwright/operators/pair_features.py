@@ -88,8 +88,14 @@ def fuzzy_features(pairs: DataFrame) -> DataFrame:
     return d.select("*", *named).drop("_n", "_a", "_x", "_y", "_s", "_r")
 
 
-def string_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """All features of pairs that carry both records' normalised columns as a_* and b_*."""
+def string_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All features of pairs that carry both records' normalised columns as a_* and b_*.
+
+    The measures cost much more than the bytes of a pair tell: tasks deals pairs out where adaptive execution would
+    gather them in a few partitions.
+    """
+    if tasks:
+        pairs = pairs.repartition(tasks, "q", "pid")
     d = fuzzy_features(legal_features(length_features(number_features(pairs))))
     d = coverage(coverage(d, "a_core", "b_core", "name"), "a_addr", "b_addr", "addr")
     d = d.select("*", F.col("b_nl_name").alias("nl_name_b"), F.col("b_nl_addr").alias("nl_addr_b"), _int(F.col("a_ctry") == F.col("b_ctry")).alias("same_ctry"))

@@ -95,7 +95,7 @@ def string_features(spark, sf_dir):
     records = r.select(F.col("rid"), "core1", F.lit("").alias("name2"), "addr", "legal", F.lit("us").alias("ctry"), F.lit(0.0).alias("nl_name"), F.lit(0.0).alias("nl_addr"), F.col("core1").alias("core_rom"), F.col("addr").alias("addr_rom"))
     pairs = _links(spark, sf_dir).select(F.col("a_rid").alias("q"), F.col("b_rid").alias("pid")).distinct()
     qry, pool = records.withColumnRenamed("rid", "q"), records.withColumnRenamed("rid", "pid")
-    return P.string_features(P.side_by_side(pairs, qry, pool), qry, pool).drop(*(f"{s}_{c}" for s in "ab" for c in ("core", "name2", "addr", "legal", "ctry", "nl_name", "nl_addr", "core_rom", "addr_rom")))
+    return P.string_features(P.side_by_side(pairs, qry, pool), qry, pool, int(spark.conf.get("spark.sql.shuffle.partitions"))).drop(*(f"{s}_{c}" for s in "ab" for c in ("core", "name2", "addr", "legal", "ctry", "nl_name", "nl_addr", "core_rom", "addr_rom")))
 
 
 from .blocking import _QUERY  # noqa: E402
