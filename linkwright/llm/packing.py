@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -35,72 +36,42 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces in one block of ranks.
 BLOCK_ROWS = 4_000
 #: Entries that a worker keeps, and the longest chunk it keeps.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 CACHE_BYTES = 64
 OUT_ROWS = 20_000
-#: Words that are encoded as one text.
-JOINED = 2_000
 
 
-class ChunkIds:
-    """Ids of the chunks of texts between ASCII white space, packed as little-endian unsigned 32-bit integers.
+class ChunkIds(dict):
+    """Chunk of a text between ASCII white space -> its ids, packed as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins characters across white space, so the ids of a text are those of its chunks. The chunks of
-    a batch that are not known yet are encoded together; the ones met first, the frequent ones, stay known.
+    The tokenizer never joins characters across white space, so the ids of a text are those of its chunks. The chunks
+    met first, the frequent ones, stay known; others are encoded each time.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode
-        self.known: dict[bytes, bytes] = {}
-        vocabulary = tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def one(self, chunk: bytes) -> bytes:
-        return np.array(self.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def many(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each chunk. Plain words end with one token that ends a word, and so can be encoded as one text."""
-        words = [c for c in chunks if c.isalpha() or c.decode().isalpha()]
-        found: dict[bytes, bytes] = {}
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            ids = np.array(self.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part) or stops[-1] != len(ids):
-                found.update((c, self.one(c)) for c in part)
-                continue
-            packed = ids.tobytes()
-            found.update(zip(part, (packed[4 * i : 4 * j] for i, j in zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)), strict=True))
-        found.update((c, self.one(c)) for c in chunks if c not in found)
-        return found
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if chunk[-1] in b",." and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1:]]  # a letter and one mark after it are cut apart anyway
+        else:
+            ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+            if sys.byteorder == "big":
+                ids = np.frombuffer(ids, ">u4").astype("<u4").tobytes()
+        if len(self) < CACHE_ENTRIES and len(chunk) <= CACHE_BYTES:
+            self[chunk] = ids
+        return ids
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        raw = [(t or "").encode() for t in texts]
-        # the vocabulary has no capitals but in its special tokens' names
-        cut = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        words = set().union(*cut) if cut else set()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            # a letter and one mark after it are cut apart anyway
-            marked = {w for w in fresh if w[-1] in b",." and w[-2:-1].isalpha()}
-            stems = {w[:-1] for w in marked}
-            marks = {w[-1:] for w in marked}
-            new = self.many([w for w in {*(set(fresh) - marked), *stems, *marks} if w not in self.known])
-            get = lambda w: self.known.get(w) or new[w]
-            new.update((w, get(w[:-1]) + get(w[-1:])) for w in marked)
-            room = max(0, CACHE_ENTRIES - len(self.known))
-            ids = {w: get(w) for w in words}
-            self.known.update(islice(((w, new[w]) for w in fresh if len(w) <= CACHE_BYTES), room))
-        else:
-            ids = self.known
-        for own in cut:
-            yield b"".join(map(ids.__getitem__, own))
+        for text in texts:
+            raw = (text or "").encode()
+            if b"<|" not in raw:  # the vocabulary has no capitals but in its special tokens' names
+                raw = raw.lower()
+            yield b"".join(map(self.__getitem__, raw.split()))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
