@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,19 +36,18 @@ def composites(base: DataFrame, base_df: DataFrame, prm: BlockParams = BlockPara
     Rarity is the frequency in the pool; a word that the pool lacks takes no part. One window ranks all words of a
     record, and the few words that count are combined within its row.
     """
-    known = base.where("typ IN ('n', 'a')").join(base_df.select("typ", F.expr("substring(tok, 3)").alias("w"), "df"), ["typ", "w"])
-    digit = F.col("w").rlike("[0-9]")
-    order = Window.partitionBy("id", "typ").orderBy("df", "w")
-    plain = Window.partitionBy("id", "typ", digit).orderBy("df", "w")
-    ranked = known.withColumn("rk", F.row_number().over(order)).withColumn("rw", F.when(~digit, F.row_number().over(plain)))
+    # one pass and one exchange by record: words that the pool lacks stay for the digits of h, and rank behind all others
+    seen = base.where("typ IN ('n', 'a')").join(base_df.select("typ", F.expr("substring(tok, 3)").alias("w"), "df"), ["typ", "w"], "left")
+    digit, known = F.col("w").rlike("[0-9]"), F.col("df").isNotNull()
+    rare = [F.col("df").asc_nulls_last(), F.col("w")]
+    order, plain = Window.partitionBy("id", "typ").orderBy(*rare), Window.partitionBy("id", "typ", digit).orderBy(*rare)
+    ranked = seen.withColumn("rk", F.when(known, F.row_number().over(order))).withColumn("rw", F.when(known & ~digit, F.row_number().over(plain)))
     at = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("w"))))
     name, addr = F.col("typ") == "n", F.col("typ") == "a"
-    words = ranked.groupBy("id").agg(
+    rows = ranked.groupBy("id").agg(
         at(name & (F.col("rk") <= prm.comp_name)).alias("n_c"), at(addr & (F.col("rk") <= prm.comp_addr)).alias("a_c"), at(name & (F.col("rk") <= prm.comp_m)).alias("n_m"),
-        at(addr & (F.col("rk") <= prm.comp_d)).alias("a_d"), at(addr & (F.col("rw") <= prm.comp_h)).alias("a_h"),
+        at(addr & (F.col("rk") <= prm.comp_d)).alias("a_d"), at(addr & (F.col("rw") <= prm.comp_h)).alias("a_h"), F.collect_list(F.when(addr & digit, F.col("w"))).alias("a_n"),
     )
-    digits = base.where("typ = 'a'").where(digit).groupBy("id").agg(F.collect_list("w").alias("a_n"))
-    rows = words.join(digits, "id", "left")
 
     def product(typ: str, left: str, right: str, ordered: bool) -> Column:
         one = F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: (x < y) if ordered else F.lit(True)), lambda y: F.struct(F.lit(typ).alias("typ"), F.concat(x, F.lit("|"), y).alias("w")))))
@@ -57,12 +57,17 @@ def composites(base: DataFrame, base_df: DataFrame, prm: BlockParams = BlockPara
     return rows.select("id", F.explode(every).alias("t")).select("id", "t.typ", "t.w")
 
 
-def pool_index(pool: DataFrame, prm: BlockParams = BlockParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (id, typ, tok), frequencies of base tokens, frequencies of all tokens."""
-    base = base_tokens(pool, "pid", prm)
-    base_df = document_frequency(tagged(base))
-    postings = tagged(base).union(tagged(composites(base, base_df, prm)))
-    return postings, base_df, document_frequency(postings)
+def pool_index(pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (id, typ, tok), frequencies of base tokens, frequencies of all tokens.
+
+    Tokens are read several times. keep(name, df) may store each table and return the stored one, so that texts are cut
+    once; without it Spark reuses only the exchanges.
+    """
+    keep = keep or (lambda _, df: df)
+    base = keep("base", base_tokens(pool, "pid", prm))
+    base_df = keep("base_df", document_frequency(tagged(base)))
+    postings = keep("postings", tagged(base).union(tagged(composites(base, base_df, prm))))
+    return postings, base_df, keep("df", document_frequency(postings))
 
 
 def query_tokens(queries: DataFrame, base_df: DataFrame, df: DataFrame, n_pool: int | Column, prm: BlockParams = BlockParams()) -> DataFrame:
@@ -90,8 +95,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
 
 
-def block(queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams()) -> DataFrame:
-    postings, base_df, df = pool_index(pool, prm)
+def block(queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    postings, base_df, df = pool_index(pool, prm, keep)
     n_pool = pool.count()
     return top_k(score(query_tokens(queries, base_df, df, n_pool, prm), postings, prm.types), prm.k)
 

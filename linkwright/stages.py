@@ -100,7 +100,9 @@ class Run:
     # candidates
 
     def candidates(self, split: str) -> DataFrame:
-        return self.kept(self.path("candidates", split, asdict(self.block)), lambda: B.block(self.queries(split), self.pool(split), self.block), "q")
+        # the pool's index is stored by token, so that a token's postings lie together
+        keep = lambda name, df: self.kept(self.path(f"index-{name}", split, asdict(self.block)), lambda: df, "tok" if "tok" in df.columns else None)
+        return self.kept(self.path("candidates", split, asdict(self.block)), lambda: B.block(self.queries(split), self.pool(split), self.block, keep), "q")
 
     def report(self, split: str = "train") -> dict:
         """Recall of the candidates, by country and source, by token type, and why pairs are missed."""
