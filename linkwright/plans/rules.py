@@ -216,6 +216,8 @@ ORACLES = {
     "rule_swap": f"{_F} {_fire(('swap_all', 'swap AND p < 0.5'))}",
     "rule_noise_spared": f"{_F} {_fire(('thrpn', _THRP(0.4) + ' AND p >= 0.3'))}",
     "rule_type_swap": f"{_VOCAB} {_fire(('typeswap', 'swap AND p < 1.01 AND xb IN ' + _TYPES.format(1)))}",
+    "rule_type_conflict": f"{_VOCAB}, tw AS (SELECT coalesce(list(w), []) AS ws FROM vocab WHERE ratio >= 0.5 AND n_full + n_empty >= 100) "
+    + _fire(("typeconf", f"p < 1.01 AND len(list_intersect({_DIFF('a_core', 'b_core')}, (SELECT ws FROM tw))) > 0 AND len(list_intersect({_DIFF('b_core', 'a_core')}, (SELECT ws FROM tw))) > 0")),
     "rule_any_fired": f"{_F} {_fire(('swap_all', 'swap AND p < 0.5'), ('legalhouse', 'conflict AND NOT same_house AND p < 0.45'), ('thrp', _THRP(0.3)))}",
     "protect_emptied": f"""{_F}, fi AS ({_fire(('thr', 'p < 0.4'), ('swap_all', 'swap AND p < 0.5'))}), al AS (SELECT *, bool_or(NOT dropped) OVER (PARTITION BY q) AS alive FROM fi),
       may AS (SELECT *, dropped AND fired = 'thr' AND p >= 0.28 AND NOT alive AS may FROM al)
@@ -243,6 +245,12 @@ ORACLES = {
     "score_bins": f"""WITH {adapters.PAIRS}, b(bin, lo, hi) AS (VALUES {', '.join(f'({i + 1}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(zip(EDGES[:-1], EDGES[1:], strict=True)))}),
       c AS (SELECT bin, lo, hi, count(*) FILTER (WHERE label = 1) AS n_true, count(*) FILTER (WHERE label = 0) AS n_false FROM b LEFT JOIN pairs ON p >= lo AND p < hi GROUP BY ALL)
       SELECT *, round(((n_true + 1) / ((SELECT sum(label) FROM pairs) + 1)) / ((n_false + 1) / ((SELECT count(*) - sum(label) FROM pairs) + 1)), 9) AS lr FROM c""",
+    "posterior_cuts": f"""WITH {adapters.PAIRS}, b(bin, lo, hi) AS (VALUES {', '.join(f'({i + 1}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(zip(EDGES[:-1], EDGES[1:], strict=True)))}),
+      c AS (SELECT bin, lo, hi, count(*) FILTER (WHERE label = 1) AS t, count(*) FILTER (WHERE label = 0) AS f FROM b LEFT JOIN pairs ON p >= lo AND p < hi GROUP BY ALL),
+      d AS (SELECT *, ((t + 1) / ((SELECT sum(label) FROM pairs) + 1)) / ((f + 1) / ((SELECT count(*) - sum(label) FROM pairs) + 1)) AS lr FROM c),
+      e AS (SELECT *, 0.5::DOUBLE * lr / (0.5::DOUBLE * lr + 0.5::DOUBLE) AS post FROM d),
+      r AS (SELECT lo, hi, bool_and(post >= 0.5) OVER (ORDER BY bin DESC) AS up, bool_and(post <= 0.5) OVER (ORDER BY bin) AS down FROM e)
+      SELECT coalesce(min(lo) FILTER (WHERE up), 1.0::DOUBLE) AS restore_cut, coalesce(max(hi) FILTER (WHERE down), 0.0::DOUBLE) AS drop_cut FROM r""",
     "rare_street_words": f"{_RARE} SELECT w FROM rare",
     "namesakes": f"""{_RARE}, s AS (SELECT q, core1, w FROM (SELECT q, core1, unnest(list_distinct(string_split(addr, ' '))) AS w FROM qry) WHERE w IN (SELECT w FROM rare))
       SELECT qry.q, coalesce(n, 0) AS n_ns FROM qry LEFT JOIN (SELECT a.q, count(DISTINCT b.q) AS n FROM s a JOIN s b ON a.core1 = b.core1 AND a.w = b.w AND a.q <> b.q GROUP BY a.q) t ON t.q = qry.q""",
