@@ -32,9 +32,9 @@ COSINE = 0.98
 BLOCKS = 4
 WORDS = 24
 #: Inner product of a unit vector and a filter's unit direction.
-CAP = 0.46
-#: Filters that a vector is posted to at least and at most; the best ones count.
-LEAST, MOST = 24, 48
+CAP = 0.5
+#: Filters that a vector is posted to at least: the best ones, where fewer exceed the cap.
+LEAST = 24
 #: Members of a block of a filter.
 BLOCK = 512
 SEED = 4711
@@ -58,14 +58,17 @@ def filters(vector: np.ndarray) -> np.ndarray:
     right = (scores[2][:, None] + scores[3][None, :]).ravel()
     by_left, by_right = np.argsort(-left), np.argsort(-right)
     left, right = left[by_left], right[by_right]
-    # at most MOST partners of each left half can be among the best, and fewer the later it comes
-    reach = np.array([min(len(right), MOST // (i + 1) + 1) for i in range(min(len(left), MOST))])
+    # each left half exceeds the cap with a prefix of the right ones
+    reach = np.searchsorted(-right, left - CAP, side="right")
+    if reach.sum() < LEAST:
+        # the left half number i can be among the LEAST best with the first LEAST / (i + 1) right ones only
+        reach = np.minimum(len(right), LEAST // np.arange(1, LEAST + 1))
+    reach = reach[reach > 0] if reach[0] > 0 else reach[:1] + 1
     i = np.repeat(np.arange(len(reach)), reach)
-    j = np.concatenate([np.arange(n) for n in reach])
+    j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
     total = left[i] + right[j]
-    order = np.argsort(-total, kind="stable")[:MOST]
-    n = max(LEAST, int((total[order] >= CAP).sum()))
-    best = order[:n]
+    n = max(LEAST, int((total >= CAP).sum()))
+    best = np.argsort(-total, kind="stable")[:n]
     return np.sort(by_left[i[best]].astype(np.int64) * len(right) + by_right[j[best]])
 
 
@@ -151,7 +154,7 @@ def verify(cosine: float = COSINE):
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors."""
     tune(spark)
-    rows = materialise(spark, posted(vectors), "posted-vectors")
+    rows = materialise(spark, posted(vectors), "posted-vectors", gather=True)
     classes = rows.where("class IS NOT NULL").groupBy("label", "class").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("filters").alias("filters"))
     classes = materialise(spark, classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     postings = classes.select("node", "label", "size", F.explode("filters").alias("filter"))
@@ -159,7 +162,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     met = postings.join(members, ["label", "filter"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     blocks = dealt.join(classes.select("node", "class", "filters"), "node").select("label", "filter", "i", "j", "own", "node", "size", "class", "filters")
-    found = materialise(spark, blocks.groupBy("label", "filter", "i", "j").applyInArrow(verify(cosine), "node bigint, root bigint, links bigint"), "vector-links")
+    found = materialise(spark, blocks.groupBy("label", "filter", "i", "j").applyInArrow(verify(cosine), "node bigint, root bigint, links bigint"), "vector-links", gather=True)
     roots = components(spark, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     own = classes.select("node", "label", "class", "least", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
