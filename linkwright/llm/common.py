@@ -25,18 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkwright.shared.dir", None):
         return found.rstrip("/")
     made = f"file://{tempfile.mkdtemp(prefix='linkwright-')}"
-    spark.conf.set("linkwright.shared.dir", spark.conf.get("linkwright.shared.dir", made))
-    return spark.conf.get("linkwright.shared.dir")
+    spark.conf.set("linkwright.shared.dir", made)
+    return made
 
 
-def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, tag: str, gather: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: it is computed once, and a lost executor costs no recomputation.
 
-    The files go when the driver's JVM ends.
+    gather deals the rows into files of the size that adaptive execution aims at: what a scan of many splits leaves is
+    often much smaller than the splits, and every small file costs its writer and all its readers. The files go when the
+    driver's JVM ends.
     """
+    if gather:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/linkwright/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm

@@ -137,9 +137,9 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHAR
 
     keep is a zlib-compressed bitmap, least significant bit first.
     """
-    postings = materialise(spark, line_postings(docs, min_chars), "line-postings")
+    postings = materialise(spark, line_postings(docs, min_chars), "line-postings", gather=True)
     dealt = postings.repartitionByRange(partitions(spark), "hi", "lo", F.col("doc_id").desc()).sortWithinPartitions("hi", "lo", F.col("doc_id").desc_nulls_last(), "text_key", "pos")
-    streamed = materialise(spark, dealt.mapInArrow(_stream(min_docs), _STREAMED), "line-stream")
+    streamed = materialise(spark, dealt.mapInArrow(_stream(min_docs), _STREAMED), "line-stream", gather=True)
     # two summaries for each partition: their totals settle the lines that cross its ends
     totals = streamed.where("kind = 'sum'").groupBy("hi", "lo").agg(F.sum("n_docs").alias("docs"), F.max("doc_id").alias("largest"))
     settled = streamed.where("kind = 'open'").join(totals, ["hi", "lo"]).where((F.col("docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("largest")))

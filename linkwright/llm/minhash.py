@@ -275,7 +275,7 @@ def classes_and_links(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     """The sketches, the classes (class, doc, doc_key, n, least) and the confirmed links (a, b) between classes."""
     tune(spark)
     docs = docs.select("doc_id", "text")
-    sketch = materialise(spark, sketches(docs, words), "sketches")
+    sketch = materialise(spark, sketches(docs, words), "sketches", gather=True)
     rows = sketch.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "n", "signature")).alias("rep"), F.min("doc_id").alias("least"))
     classes = materialise(spark, rows.select("class", "least", F.col("rep.doc_id").alias("doc"), F.col("rep.text_key").alias("key"), "rep.n", "rep.signature"), "classes")
     tokens = classes.select("class", F.posexplode("signature").alias("k", "v")).select("class", (F.shiftleft(F.col("k").cast("bigint"), 32) + (F.col("v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("token"))

@@ -179,7 +179,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     tune(spark)
-    cut = materialise(spark, pieces(docs, path or public_tokenizers.path(VOCABULARY), capacity, end_id), "pieces")
+    cut = materialise(spark, pieces(docs, path or public_tokenizers.path(VOCABULARY), capacity, end_id), "pieces", gather=True)
     # at most one row for each length up to the capacity
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     blocks = max(1, -(-sum(histogram.values()) // BLOCK_ROWS))

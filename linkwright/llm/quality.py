@@ -199,7 +199,7 @@ def merged(estimates: DataFrame) -> DataFrame:
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every row."""
     tune(spark)
-    rows = materialise(spark, statistics(docs), "statistics")
+    rows = materialise(spark, statistics(docs), "statistics", gather=True)
     sizes = rows.groupBy("lang", "source").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
     rows = materialise(spark, rows.join(sizes, ["lang", "source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("chunks"))).drop("chunks"), "chunks")
     keys = ["lang", "source", "chunk"]

@@ -155,15 +155,28 @@ def fit(examples: list[tuple[dict[bytes, int], int]], telling: dict[bytes, float
     return Model({k: float(w[i]) for k, i in place.items()}, [float(c) for c in cuts])
 
 
-def _counted(only: set[bytes] | None):
-    """(text, toxic) -> (counts, toxic), with the counts of some features, or all features once."""
+#: Documents whose features are held at once: a document has several features for each distinct word.
+SLICE = 64
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) -> (w, toxic): each document's distinct features."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            own = [dict.fromkeys(chain.from_iterable(map(features, set(words(t))))) for t in part.column(0).to_pylist()]
+            toxic = np.repeat(np.array(part.column(1).to_pylist(), np.int32), [len(f) for f in own])
+            yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(own)), pa.binary()), pa.array(toxic)], names=["w", "toxic"])
+
+
+def _counted(only: set[bytes]):
+    """(text, toxic) -> (counts, toxic), with the counts of some features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.binary(), pa.int32())
-        known = Known(only or set())
+        known = Known(only)
         for batch in batches:
-            found = [words(t) for t in batch.column(0).to_pylist()]
-            own = [known.counts(w) if only is not None else dict.fromkeys(chain.from_iterable(map(features, set(w))), 1) for w in found]
+            own = [known.counts(words(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(c.items()) for c in own], kind), batch.column(1).cast(pa.int32())], names=["counts", "toxic"])
 
     return run
@@ -177,10 +190,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     named = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     # TRAIN_DOCS ids and labels are small enough to go to every task
-    texts = materialise(spark, docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
+    texts = materialise(spark, docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample", gather=True)
     schema = "counts map<binary,int>, toxic int"
     n = texts.agg(F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
-    seen = texts.mapInArrow(_counted(None), schema).select("toxic", F.explode(F.map_keys("counts")).alias("w"))
+    seen = texts.mapInArrow(_seen, "w binary, toxic int")
     tallies = seen.groupBy("w").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("bad"), F.count("*").alias("all")).where(F.col("all") >= MIN_DOCS)
     bad, all_bad, some, everyone = F.col("bad").cast("double"), float(n["bad"]), F.col("all").cast("double"), float(n["all"])
 
