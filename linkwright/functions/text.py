@@ -103,22 +103,28 @@ def name_tokens(text: Column) -> Column:
     return replace_words(leet_fixed(tokens(text)), NAME_ABBR)
 
 
-def parse_name(raw: Column) -> dict[str, Column]:
-    """name1, name2, core1, legal, is_domain, has_alias of raw names. raw: folded by `folded`."""
+NAME_COLUMNS = ["name1", "name2", "core1", "legal", "is_domain", "has_alias"]
+
+
+def with_parsed_name(records: DataFrame, raw: str) -> DataFrame:
+    """records with NAME_COLUMNS, read from a column of raw names that `folded` has folded.
+
+    The steps are columns of their own, one projection after another, so that each is computed once for all that use it.
+    """
     text = F.btrim(F.coalesce(raw, F.lit("")))
     parts = F.filter(F.transform(F.flatten(F.transform(F.split(text, r"\s*\|\s*"), lambda x: F.split(x, ALIAS_MARKERS))), lambda x: F.btrim(x)), lambda x: x != "")
     bare = lambda x: F.btrim(x, F.lit("[]() "))
-    names = F.filter(parts, lambda x: ~bare(x).rlike(DOMAIN))
     label = lambda x: F.translate(F.regexp_replace(F.regexp_extract(bare(x), DOMAIN, 1), DOMAIN_ENDING, ""), "-.", "  ")
-    domains = F.transform(F.filter(parts, lambda x: bare(x).rlike(DOMAIN)), label)
-    first = F.coalesce(F.get(names, F.lit(0)), F.get(domains, F.lit(0)), text)
-    alias = F.coalesce(F.get(names, F.lit(1)), F.when(F.size(names) > 0, F.get(domains, F.lit(0))), F.lit(""))
-    t1 = name_tokens(first)
-    core = F.filter(t1, lambda w: ~w.isin(*LEGAL, *STOP))
-    return {
-        "name1": F.array_join(t1, " "), "name2": F.array_join(name_tokens(alias), " "), "core1": F.array_join(F.when(F.size(core) > 0, core).otherwise(t1), " "),
-        "legal": F.array_join(F.array_sort(F.array_distinct(F.filter(t1, lambda w: w.isin(*LEGAL)))), " "), "is_domain": (F.size(names) == 0) & (F.size(domains) > 0), "has_alias": alias != "",
-    }
+    is_domain = lambda x: ~bare(x).contains(" ") & bare(x).rlike(DOMAIN)  # noqa: E731  most parts have a blank, and need no pattern
+    d = records.withColumn("_text", text).withColumn("_parts", parts)
+    d = d.withColumn("_names", F.filter("_parts", lambda x: ~is_domain(x))).withColumn("_domains", F.transform(F.filter("_parts", is_domain), label))
+    first = F.coalesce(F.get("_names", F.lit(0)), F.get("_domains", F.lit(0)), F.col("_text"))
+    alias = F.coalesce(F.get("_names", F.lit(1)), F.when(F.size("_names") > 0, F.get("_domains", F.lit(0))), F.lit(""))
+    d = d.withColumn("_alias", alias).withColumn("_t1", name_tokens(first)).withColumn("_core", F.filter("_t1", lambda w: ~w.isin(*LEGAL, *STOP)))
+    return d.withColumns({
+        "name1": F.array_join("_t1", " "), "name2": F.array_join(name_tokens(F.col("_alias")), " "), "core1": F.array_join(F.when(F.size("_core") > 0, F.col("_core")).otherwise(F.col("_t1")), " "),
+        "legal": F.array_join(F.array_sort(F.array_distinct(F.filter("_t1", lambda w: w.isin(*LEGAL)))), " "), "is_domain": (F.size("_names") == 0) & (F.size("_domains") > 0), "has_alias": F.col("_alias") != "",
+    }).drop("_text", "_parts", "_names", "_domains", "_alias", "_t1", "_core")
 
 
 def norm_country(raw: Column) -> Column:
@@ -145,7 +151,7 @@ def nonlatin_share(text: Column) -> Column:
 def normalise(records: DataFrame) -> DataFrame:
     """Raw records (rid, entity_id, business_name, business_address, country) with all normalised columns."""
     f = records.select("*", folded("business_name").alias("_n"), folded("business_address").alias("_a"), folded("country").alias("_c"))
-    f = f.select("*", *(c.alias(k) for k, c in parse_name(F.col("_n")).items()), norm_country(F.col("_c")).alias("ctry"))
+    f = with_parsed_name(f, "_n").withColumn("ctry", norm_country(F.col("_c")))
     f = f.withColumn("addr", norm_address(F.col("_a"), F.col("ctry"))).withColumn("nl_name", nonlatin_share(F.col("business_name"))).withColumn("nl_addr", nonlatin_share(F.col("business_address")))
     roman = lambda c: F.when(F.col(c).rlike(r"[^\x00-\x7F]"), F.array_join(tokens(romanised_letters(c)), " ")).otherwise(F.col(c))
     return f.withColumn("core_rom", roman("core1")).withColumn("addr_rom", roman("addr")).drop("_n", "_a", "_c")

@@ -65,7 +65,7 @@ def decoy_features(spark, sf_dir):
 def normalised_names(spark, sf_dir):
     """Every document's whole text read as a raw name: aliases, domains, leet, abbreviations, legal forms, core."""
     d = adapters.table(spark, sf_dir, "documents").select("doc_id", T.folded("text").alias("t"))
-    return d.select("doc_id", *(c.alias(k) for k, c in T.parse_name(F.col("t")).items()))
+    return T.with_parsed_name(d, "t").select("doc_id", *T.NAME_COLUMNS)
 
 
 def normalised_addresses(spark, sf_dir):
@@ -85,8 +85,7 @@ def domain_labels(spark, sf_dir):
     """The labels of page hosts read as domain names."""
     host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
     d = adapters.table(spark, sf_dir, "pages").select("page_id", F.lower(F.coalesce(host, F.lit(""))).alias("t"))
-    n = T.parse_name(F.col("t"))
-    return d.select("page_id", n["name1"].alias("name1"), n["is_domain"].alias("is_domain"))
+    return T.with_parsed_name(d, "t").select("page_id", "name1", "is_domain")
 
 
 def string_features(spark, sf_dir):
