@@ -275,9 +275,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For pages of the shape of the synthetic table, whose article is one element without nested markup of other kinds.
+#: References that lack their semicolon, where a title was cut, are references all the same.
 ORACLE = r"""
-SELECT page_id, url, t AS text, length(t) AS n_chars FROM (
-  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
-    '</?(?:p|h1|br)>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t
-  FROM pages)
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|br)>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(replace(t, '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM b)
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM c
 """
