@@ -128,9 +128,9 @@ def coverage(found: DataFrame) -> DataFrame:
     return hits.groupBy("typ").agg(F.count("*").alias("found_pairs"), F.sum(F.col("hit").cast("int")).alias("hits"))
 
 
-def diagnose(truth: DataFrame, queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams()) -> DataFrame:
+def diagnose(truth: DataFrame, queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(q, pid, n_shared, min_df) of every true pair, without any frequency cap."""
-    postings, base_df, df = pool_index(pool, prm)
+    postings, base_df, df = pool_index(pool, prm, keep)
     base = base_tokens(queries, "q", prm)
     every = tagged(base).union(tagged(composites(base, base_df, prm))).select(F.col("id").alias("q"), "tok")
     pairs = truth.select("q", "pid")

@@ -33,7 +33,7 @@ def length_features(spark, sf_dir):
 def token_coverage(spark, sf_dir):
     """Whole-text word coverage of all candidate pairs of documents."""
     qry, pool = adapters.queries_and_pool(spark, sf_dir)
-    found = block(qry, pool).select("q", "pid")
+    found = block(qry, pool, keep=kept).select("q", "pid")
     d = found.join(qry.select("q", F.col("addr").alias("a_addr")), "q").join(pool.select("pid", F.col("addr").alias("b_addr")), "pid")
     return P.coverage(d, "a_addr", "b_addr", "addr").select("q", "pid", "addr_cov_a", "addr_cov_b")
 
@@ -97,7 +97,7 @@ def string_features(spark, sf_dir):
     return P.string_features(P.side_by_side(pairs, qry, pool), qry, pool, int(spark.conf.get("spark.sql.shuffle.partitions"))).drop(*(f"{s}_{c}" for s in "ab" for c in ("core", "name2", "addr", "legal", "ctry", "nl_name", "nl_addr", "core_rom", "addr_rom")))
 
 
-from .blocking import _QUERY  # noqa: E402
+from .blocking import _QUERY, kept  # noqa: E402
 
 _PARTS = f"WITH {adapters.PARTS}"
 _LINKS = f"WITH {adapters.PAIRS}, {adapters.PARTS}, {adapters.LINKS}"

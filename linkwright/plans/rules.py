@@ -48,7 +48,7 @@ def word_swap_flag(spark, sf_dir):
 def name_relation_kind(spark, sf_dir):
     """Restore kinds of all candidate pairs of documents."""
     qry, pool = adapters.queries_and_pool(spark, sf_dir)
-    d = B.block(qry, pool).select("q", "pid").join(qry.select("q", F.col("core1").alias("a_core")), "q").join(pool.select("pid", F.col("core1").alias("b_core")), "pid")
+    d = B.block(qry, pool, keep=kept).select("q", "pid").join(qry.select("q", F.col("core1").alias("a_core")), "q").join(pool.select("pid", F.col("core1").alias("b_core")), "pid")
     return d.select("q", "pid", R.restore_kind().alias("kind"))
 
 
@@ -256,7 +256,7 @@ ORACLES = {
       SELECT qry.q, coalesce(n, 0) AS n_ns FROM qry LEFT JOIN (SELECT a.q, count(DISTINCT b.q) AS n FROM s a JOIN s b ON a.core1 = b.core1 AND a.w = b.w AND a.q <> b.q GROUP BY a.q) t ON t.q = qry.q""",
 }
 
-from .blocking import _QUERY  # noqa: E402
+from .blocking import _QUERY, kept  # noqa: E402
 
 ORACLES["name_relation_kind"] = f"""{_QUERY}, d AS (SELECT c.q, c.pid, a.core1 AS a_core, b.core1 AS b_core, {_DIFF('a.core1', 'b.core1')} AS gone, {_DIFF('b.core1', 'a.core1')} AS new FROM cand c JOIN qry a ON a.q = c.q JOIN pool b ON b.pid = c.pid)
   SELECT q, pid, {_KIND} AS kind FROM d"""
