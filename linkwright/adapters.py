@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores by its key, where its files have fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, src, ctry, core1, name2, addr, digest of every document."""
     words = F.split(F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9]+", " "))), " ")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), (F.pmod("doc_id", F.lit(3)) + 1).alias("src"), F.col("lang").alias("ctry"), words.alias("ws"), F.md5("text").alias("digest"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id").select(F.col("doc_id").alias("rid"), (F.pmod("doc_id", F.lit(3)) + 1).alias("src"), F.col("lang").alias("ctry"), words.alias("ws"), F.md5("text").alias("digest"))
     return docs.select("rid", "src", "ctry", F.array_join(F.slice("ws", 1, NAME_WORDS), " ").alias("core1"), F.lit("").alias("name2"), F.array_join(F.slice("ws", F.lit(NAME_WORDS + 1), F.greatest(F.size("ws"), F.lit(1))), " ").alias("addr"), "digest")
 
 
