@@ -55,8 +55,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{Ll}}'’-]{{1,30}})(?: \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}){{0,2}}(?![\p{{L}}])",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: What every entity has.
-HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLE})[. ]"
+#: What every entity has: a digit or @, the beginning of a key, a colon between letters of a MAC or IPv6 address, or a title.
+HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ)|[A-Fa-f:]:[A-Fa-f]|[A-Fa-f]::|(?<![\p{{L}}])(?:{_TITLE})[. ]"
 
 
 def _digest(*parts: Column | str) -> Column:
