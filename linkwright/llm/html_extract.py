@@ -36,7 +36,9 @@ _TOKEN = re.compile(
     |<[!?/][^>]*>""",
     re.S | re.I | re.X,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A whole attribute with its value, so that names are not looked for inside other names and values.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_READ = {"class", "id", "role", "style", "aria-hidden", "hidden"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "td"}
 _BLOCKS = _CONTAINERS | {
@@ -78,7 +80,11 @@ class Page:
 
 def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     """An element's name in paths, and whether its attributes mark it as no article."""
-    found = {k.lower(): (v or "").strip("\"' ") for k, v in _ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
+    found: dict[str, str] = {}
+    if attributes and not attributes.isspace():
+        for k, v in _ATTRIBUTE.findall(attributes):
+            if (k := k.lower()) in _READ:
+                found.setdefault(k, v.strip("\"' "))
     if not found:
         return tag, False
     label, own = found.get("class", ""), found.get("id", "")
