@@ -6,7 +6,7 @@ are then extracted again with their host's winning path. A page without such a c
 
 Containers score by the running text in the blocks below them, less what stands in links. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are told by their tags, roles and classes, and
-count for nothing. Within an article or main element the whole element is the container; its headings count as text.
+count for nothing. Classes of a wrapper of nearly the whole page, or around an article or main element, mark nothing below. Within an article or main element the whole element is the container; its headings count as text.
 
 Defined results: null or empty html has an empty text; a null url belongs to the host without a name; a null page_id is
 kept; repeated rows get a row each; an empty table gives an empty table; other columns are ignored.
@@ -52,8 +52,14 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|navs?|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|footers?|foot|headers?|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|notification|popups?|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|pagination|pager|widgets?|toolbar|skip|hidden|print|outbrain|taboola)\d*(?=$|[\s_-])",
     re.I,
 )
+#: Classes that tell what a page's layout has or lacks, not what the element is; no-print is said of the element.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without|overflow)[_-](?!print)\S+", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|story|entry|post|main|text)(?:[\s_-]?(?:body|content|text|main))?(?=$|[\s_-])", re.I)
 _NEVER = re.compile(r"comment|repl(?:y|ies)|sidebar|(?:^|[\s_-])ads?(?=$|[\s_-])|advert|footer|menu|nav", re.I)
+#: Marked classes whose elements stay marked in any wrapper and around any article.
+_FIRM = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|repl(?:y|ies))\d*(?=$|[\s_-])", re.I)
+#: Share of a page's running text from which a marked class is that of a wrapper of the whole page.
+WRAPPER_PERCENT = 90
 #: An open element that a new one of these ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "main", "body"}
@@ -67,6 +73,8 @@ class Page:
     name: list[str] = field(default_factory=lambda: ["body"])
     parent: list[int] = field(default_factory=lambda: [-1])
     bad: list[bool] = field(default_factory=lambda: [False])
+    firm: list[bool] = field(default_factory=lambda: [False])
+    soft: list[bool] = field(default_factory=lambda: [False])
     inside: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
@@ -78,23 +86,24 @@ class Page:
         return ">".join(reversed(names))
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's name in paths, and whether its attributes mark it as no article."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's name in paths, and whether its state or role, or its classes alone, mark it as no article."""
     found: dict[str, str] = {}
     if attributes and not attributes.isspace():
         for k, v in _ATTRIBUTE.findall(attributes):
             if (k := k.lower()) in _READ:
                 found.setdefault(k, v.strip("\"' "))
     if not found:
-        return tag, False
+        return tag, False, False
     label, own = found.get("class", ""), found.get("id", "")
-    both = f"{label} {own}"
-    bad = bool(_BAD.search(both)) and not (_GOOD.search(both) and not _NEVER.search(both))
-    bad |= found.get("role", "").lower() in _BAD_ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
-    bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+    both = _LAYOUT.sub(" ", f"{label} {own}")
+    soft = bool(_BAD.search(both)) and not (_GOOD.search(both) and not _NEVER.search(both))
+    firm = soft and bool(_FIRM.search(both))
+    firm |= found.get("role", "").lower() in _BAD_ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
+    firm |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
     first = label.split()[0] if label.split() else ""
     general = re.sub(r"\d+", "N", first or (f"#{own}" if own else ""))
-    return (f"{tag}.{general}" if general else tag), bad
+    return (f"{tag}.{general}" if general else tag), firm, soft
 
 
 def parse(html: str) -> Page:
@@ -146,13 +155,13 @@ def parse(html: str) -> Page:
         else:
             if tag == "a":
                 in_link = True
-            name, bad = _marks(tag, attributes)
-            bad |= tag in _BAD_TAGS
+            name, firm, soft = _marks(tag, attributes)
+            firm |= tag in _BAD_TAGS
             if tag in ("html", "body"):
                 if tag == "body":
                     end({"head"})
                 continue
-            if tag not in _BLOCKS and not bad:
+            if tag not in _BLOCKS and not firm and not soft:
                 continue
             if tag in _BLOCKS and tag != "p":
                 end({"p"}, _SCOPE)
@@ -164,19 +173,50 @@ def parse(html: str) -> Page:
             above = stack[-1]
             inside = page.inside[above] or tag in ("article", "main")
             if tag == "header" and not page.inside[above]:
-                bad = True
+                firm = True
             stack.append(len(page.tag))
             page.tag.append(tag)
             page.name.append(name)
             page.parent.append(above)
-            page.bad.append(bad or page.bad[above])
+            page.firm.append(firm or page.firm[above])
+            page.soft.append(soft)
             page.inside.append(inside)
     if last < len(html):
         words.append(entities.unescape(html[last:]))
     flush()
+    _settle(page)
     return page
 
 
+def _running(text: str, links: int) -> bool:
+    return 2 * links <= len(text)
+
+
+def _settle(page: Page) -> None:
+    """Whether each element is marked: by its own state or classes, or by what it stands in.
+
+    A class does not mark a wrapper of nearly all running text, and an outermost article or main element stands by itself.
+    Where classes leave no running text at all, they count for nothing.
+    """
+    void = set()
+    if any(page.soft):
+        held = [0] * len(page.tag)
+        for node, text, links in page.blocks:
+            if not page.firm[node] and _running(text, links):
+                held[node] += len(text)
+        for node in range(len(held) - 1, 0, -1):
+            held[page.parent[node]] += held[node]
+        void = {n for n, soft in enumerate(page.soft) if soft and held[0] and 100 * held[n] >= WRAPPER_PERCENT * held[0]}
+    for node in range(1, len(page.tag)):
+        above = page.parent[node]
+        alone = page.tag[node] in ("article", "main") and not page.inside[above]
+        page.bad.append(page.firm[node] or (page.soft[node] and node not in void) or (page.bad[above] and not alone))
+    if any(page.soft):
+        running = [node for node, text, links in page.blocks if _running(text, links)]
+        if all(page.bad[n] for n in running) and not all(page.firm[n] for n in running):
+            page.bad = list(page.firm)
+
+
 def container(page: Page, node: int) -> int:
     while node > 0 and page.tag[node] not in _CONTAINERS:
         node = page.parent[node]
@@ -187,7 +227,7 @@ def best_container(page: Page) -> tuple[int, float]:
     """The element that holds the article, and its score."""
     score: dict[int, float] = {}
     for node, text, links in page.blocks:
-        if page.bad[node] or 2 * links > len(text):
+        if page.bad[node] or not _running(text, links):
             continue
         weight = 1 + min((len(text) - links) / 100, 10)
         at = container(page, node)
