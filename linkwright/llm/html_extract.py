@@ -6,7 +6,8 @@ are then extracted again with their host's winning path. A page without such a c
 
 Containers score by the running text in the blocks below them, less what stands in links. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are told by their tags, roles and classes, and
-count for nothing. Classes of a wrapper of nearly the whole page, or around an article or main element, mark nothing below. Within an article or main element the whole element is the container; its headings count as text.
+count for nothing. Classes of a wrapper of nearly the whole page, or around an article or main element, mark nothing below. Within an article or main element the whole element is the container; its headings count as text. Elsewhere the
+container is widened to the element, below the page itself, that holds the running text of its siblings too.
 
 Defined results: null or empty html has an empty text; a null url belongs to the host without a name; a null page_id is
 kept; repeated rows get a row each; an empty table gives an empty table; other columns are ignored.
@@ -238,7 +239,7 @@ def best_container(page: Page) -> tuple[int, float]:
     if not score:
         return 0, 0.0
     best = max(score, key=lambda n: (score[n], -n))
-    total, outer, at = score[best], best, best
+    total = score[best]
     for tag in ("article", "main"):
         found, at = None, best
         while at >= 0:
@@ -246,9 +247,23 @@ def best_container(page: Page) -> tuple[int, float]:
                 found = at
             at = page.parent[at]
         if found is not None:
-            outer = found
-            break
-    return outer, total
+            return found, total
+    return _with_siblings(page, best), total
+
+
+def _with_siblings(page: Page, best: int) -> int:
+    """The lowest ancestor of best, below the page itself, that holds all unmarked running text around it."""
+    held = [0] * len(page.tag)
+    for node, text, links in page.blocks:
+        if not page.bad[node] and _running(text, links):
+            held[node] += len(text)
+    for node in range(len(held) - 1, 0, -1):
+        held[page.parent[node]] += held[node]
+    outer, at = best, best
+    while (at := page.parent[at]) > 0:
+        if held[at] > held[outer] and page.tag[at] in _CONTAINERS:
+            outer = at
+    return outer
 
 
 def text_below(page: Page, nodes: set[int]) -> str:
