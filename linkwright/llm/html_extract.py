@@ -31,7 +31,6 @@ PATH_LENGTH = 8
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|svg|iframe|textarea|title|select|object|math|audio|video|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>
     |<[!?/][^>]*>""",
@@ -40,6 +39,9 @@ _TOKEN = re.compile(
 #: A whole attribute with its value, so that names are not looked for inside other names and values.
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
 _READ = {"class", "id", "role", "style", "aria-hidden", "hidden"}
+#: Elements without article text. Those of _RAW hold no elements, and run to the end of the page if they are not closed.
+_RAW = {"script", "style", "textarea", "title"}
+_SKIPPED = _RAW | {"noscript", "template", "svg", "iframe", "select", "object", "math", "audio", "video", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "td"}
 _BLOCKS = _CONTAINERS | {
@@ -107,8 +109,22 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return (f"{tag}.{general}" if general else tag), firm, soft
 
 
+def _closings(html: str, tag: str) -> dict[int, int]:
+    """Where each closed element of a tag ends, by the end of its start tag. A closing tag closes the last open one."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){tag}(?![a-z0-9:-])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>", html, re.I):
+        if not m[1]:
+            if not (tag in ("svg", "math") and m[0].endswith("/>")):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def parse(html: str) -> Page:
     page = Page()
+    closings: dict[str, dict[int, int]] = {}
     stack = [0]
     words: list[str] = []
     link_chars, in_link = 0, False
@@ -132,19 +148,31 @@ def parse(html: str) -> Page:
             if tag in scope:
                 return
 
+    def skipped(tag: str, at: int) -> int:
+        """Where an element whose start tag ends at at is over; a start tag alone if it is not closed."""
+        if tag in _RAW:
+            m = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            return m.end() if m else len(html)
+        if tag not in closings:
+            closings[tag] = _closings(html, tag)
+        return closings[tag].get(at, at)
+
     last = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, last):
         if m.start() > last:
             text = entities.unescape(html[last : m.start()])
             words.append(text)
             if in_link:
                 link_chars += len(text)
         last = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
-        if tag in _VOID:
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag in _SKIPPED:
+            if not closing:
+                last = skipped(tag, last)
+        elif tag in _VOID:
             if tag == "br":
                 words.append(" ")
             elif tag == "hr":
