@@ -7,9 +7,11 @@ an entity looks the same in all documents:
 - numbers keep their separators, their length and a country code; their digits go through a keyed Feistel permutation
   of all numbers of that length, so different numbers stay different;
 - IPv4 addresses go through such a permutation of all addresses;
-- keys, IBANs, IPv6 and MAC addresses keep their alphabet, case, length and separators;
+- IPv6 addresses, compressed ones included, become whole addresses, equal for all spellings of an address;
+- keys, IBANs and MAC addresses keep their alphabet, case, length and separators;
 - e-mail addresses become letters at a reserved domain;
-- names keep their title, number of words and script; words are built of syllables, with endings by the title's gender,
+- names run over all capitalised words, initials and particles after a title; they keep their title, particles, number
+  of words and script, and initials stay initials; words are built of syllables, with endings by the title's gender,
   and each word is replaced by itself, so that a surname alone still refers to the full name.
 
 Surrogates of different entities that collide with one another or with an entity of the corpus are found by a grouping
@@ -21,6 +23,7 @@ an empty table gives an empty table; other columns stay as they are.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,7 +44,16 @@ _TITLES = {
     "n": ["Dr", "Prof"],
 }
 _TITLE = "|".join(t for titles in _TITLES.values() for t in sorted(titles, key=len, reverse=True))
+#: Words in lower case within a name, and a capitalised word or initials.
+_PARTICLE = r"(?:de|del|della|delle|dei|di|da|das|do|dos|du|des|la|las|le|los|van|von|vom|der|den|dem|zu|zum|zur|ter|ten|te|af|av|al|el|bin|bint|ibn|ben|y|e)"
+_WORD = r"(?:\p{Lu}\.(?:-?\p{Lu}\.)*+|(?:(?:al|el|ad|ar|as|at)-|[dl]['’])?+\p{Lu}[\p{L}\p{M}'’-]*+)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_H = "[0-9A-Fa-f]{1,4}"
+#: IPv6 with a dotted end, or with zeros left out; not the bare "::".
+_SHORT_IP6 = "|".join([
+    rf"(?:(?:{_H}:){{6}}|(?:{_H}:){{1,5}}:(?:{_H}:){{0,4}}|::(?:{_H}:){{0,5}})(?:{_OCTET}\.){{3}}{_OCTET}",
+    rf"(?:{_H}:){{1,7}}:", *(rf"(?:{_H}:){{1,{7 - n}}}(?::{_H}){{1,{n}}}" for n in range(1, 7)), rf":(?::{_H}){{1,7}}",
+])
 #: type -> pattern; the first that fits wins. Possessive where a run cannot end elsewhere.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -49,10 +61,10 @@ PATTERNS = {
     "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "mac": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])",
-    "ip6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:{_SHORT_IP6}|(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}})(?![0-9A-Za-z:]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![0-9A-Za-z+.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{Ll}}'’-]{{1,30}})(?: \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}){{0,2}}(?![\p{{L}}])",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:{_PARTICLE} ){{0,3}}{_WORD}(?: (?:(?:{_PARTICLE} ){{1,3}}(?!(?:{_TITLE})[. ]))?+{_WORD})*+",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What every entity has: a digit or @, the beginning of a key, a colon between letters of a MAC or IPv6 address, or a title.
@@ -106,12 +118,12 @@ def _ip_surrogate(m: Column, attempt: Column, key: str) -> Column:
 
 def _alike(m: Column, kind: str, attempt: Column, key: str, keep: int = 0) -> Column:
     """Characters of the same class in the place of each letter and digit after the first keep ones."""
-    stream = F.concat(*(_digest(key, kind, attempt, str(i), F.upper(m) if kind in ("mac", "ip6", "iban") else m) for i in range(4)))
+    stream = F.concat(*(_digest(key, kind, attempt, str(i), F.upper(m) if kind in ("mac", "iban") else m) for i in range(4)))
     hexes = "[0-9a-fA-F]"
 
     def one(c: Column, i: Column) -> Column:
         v = F.conv(F.substr(stream, F.pmod(i * 3, F.lit(254)) + 1, F.lit(3)), 16, 10).cast("int")
-        if kind in ("hex", "mac", "ip6"):
+        if kind in ("hex", "mac"):
             new = F.substr(F.when(c.rlike("[A-F]"), F.lit("0123456789ABCDEF")).otherwise(F.lit("0123456789abcdef")), F.pmod(v, F.lit(16)) + 1, F.lit(1))
             return F.when((i >= keep) & c.rlike(hexes), new).otherwise(c)
         upper = F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(v, F.lit(26)) + 1, F.lit(1))
@@ -145,7 +157,44 @@ def _name_surrogate(m: Column, attempt: Column, key: str) -> Column:
     bare = F.regexp_replace(F.trim(title), r"\.$", "")
     gender = F.when(bare.isin(_TITLES["m"]), F.lit("m")).when(bare.isin(_TITLES["f"]), F.lit("f")).otherwise(F.lit("n"))
     words = F.split(F.substr(m, F.length(title) + 1, F.length(m)), " ")
-    return F.concat(title, F.array_join(F.transform(words, lambda w, i: _word_surrogate(w, gender, (i == 0) & (F.size(words) > 1), attempt, key)), " "))
+    # initials stay initials beside a full word; alone they are replaced by a word
+    initials = lambda w: w.rlike(r"^(?:-?\p{Lu}\.)+$")
+    full = F.exists(words, lambda w: w.rlike(r"\p{Lu}") & ~initials(w))
+
+    def one(w: Column, i: Column) -> Column:
+        made = _word_surrogate(w, gender, (i == 0) & (F.size(words) > 1), attempt, key)
+        return F.when(w.rlike(rf"^{_PARTICLE}$"), w).when(full & initials(w), F.translate(w, _LETTERS, _permuted_letters(key))).otherwise(made)
+
+    return F.concat(title, F.array_join(F.transform(words, one), " "))
+
+
+_ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŁŚŠŽĐ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+_LETTERS = "".join(_ALPHABETS)
+
+
+def _permuted_letters(key: str) -> str:
+    """_LETTERS with the letters of each alphabet moved on by keyed cycles, so that none stays."""
+    out = {}
+    for letters in _ALPHABETS:
+        order = sorted(letters, key=lambda c: hashlib.sha256(f"{key}\x1finitial\x1f{c}".encode()).digest())
+        out.update(zip(order, order[1:] + order[:1], strict=True))
+    return "".join(out[c] for c in _LETTERS)
+
+
+def _full_ip6(m: Column) -> Column:
+    """An IPv6 address as eight groups of four lower-case digits."""
+    v4 = F.split(F.regexp_extract(m, r"[0-9]+(?:\.[0-9]+){3}$", 0), r"\.")
+    pair = lambda i: F.lower(F.hex(F.get(v4, F.lit(i)).cast("bigint") * 256 + F.get(v4, F.lit(i + 1)).cast("bigint")))
+    hexes = F.when(m.contains("."), F.concat(F.regexp_replace(m, r"[0-9]+(?:\.[0-9]+){3}$", ""), pair(0), F.lit(":"), pair(2))).otherwise(m)
+    sides = F.split(hexes, "::", 2)
+    groups = lambda at: F.filter(F.split(F.coalesce(F.get(sides, F.lit(at)), F.lit("")), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(groups(0)) - F.size(groups(1)))
+    return F.array_join(F.transform(F.concat(groups(0), zeros, groups(1)), lambda g: F.lpad(F.lower(g), 4, "0")), ":")
+
+
+def _ip6_surrogate(m: Column, attempt: Column, key: str) -> Column:
+    """A whole address, the same for every spelling of one."""
+    return F.regexp_replace(F.substring(_digest(key, "ip6", attempt, _full_ip6(m)), 1, 32), "(.{4})(?!$)", "$1:")
 
 
 def kind_of(m: Column) -> Column:
@@ -155,7 +204,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(rf"^(?:{_TITLE})\.? "), F.lit("name"))
         .when(m.rlike("^[0-9.]+$") & m.contains("."), F.when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), F.lit("ip")).otherwise(F.lit("number")))
         .when(m.rlike("^[0-9a-f]{32,}$") & m.rlike("[a-f]"), F.lit("hex"))
-        .when(m.rlike("^(?:[0-9A-Fa-f]{2}:){5}"), F.lit("mac"))
+        .when(m.rlike("^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$"), F.lit("mac"))
         .when(m.contains(":"), F.lit("ip6"))
         .when(m.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), F.lit("iban"))
         .when(m.rlike("^[0-9+( ).-]+$"), F.lit("number"))
@@ -168,7 +217,7 @@ def surrogate(m: Column, attempt: Column, key: str = KEY) -> Column:
     made = {
         "email": _email_surrogate(m, attempt, key), "name": _name_surrogate(m, attempt, key), "ip": _ip_surrogate(m, attempt, key),
         "number": _number_surrogate(m, attempt, key), "hex": _alike(m, "hex", attempt, key), "mac": _alike(m, "mac", attempt, key),
-        "ip6": _alike(m, "ip6", attempt, key), "iban": _alike(m, "iban", attempt, key, 2), "key": _alike(m, "key", attempt, key, 4),
+        "ip6": _ip6_surrogate(m, attempt, key), "iban": _alike(m, "iban", attempt, key, 2), "key": _alike(m, "key", attempt, key, 4),
     }
     return reduce(lambda c, k: c.when(kind == k, made[k]), list(made)[1:], F.when(kind == "email", made["email"]))
 
@@ -183,7 +232,7 @@ def collisions(spark: SparkSession, docs: DataFrame, key: str = KEY) -> dict[str
     found = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
     found = materialise(spark, found.select("entity", surrogate(F.col("entity"), F.lit("0"), key).alias("made")), "entities")
     # forms of one entity that differ in case or separators share a surrogate's letters, not a collision
-    norm = F.upper(F.regexp_replace("entity", "[^\\p{L}\\p{N}@+]", ""))
+    norm = F.when(kind_of(F.col("entity")) == "ip6", _full_ip6(F.col("entity"))).otherwise(F.upper(F.regexp_replace("entity", "[^\\p{L}\\p{N}@+]", "")))
     shared = found.groupBy("made").agg(F.count_distinct(norm).alias("n")).where("n > 1").select("made")
     taken = found.select(F.col("entity").alias("made"))
     bad = found.join(shared.union(taken).distinct(), "made", "left_semi")
