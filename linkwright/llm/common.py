@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import drop, drop_since, mark, materialise, shared_dir, write  # noqa: F401  used by the operators through here
+
 #: Rows and bytes in one Arrow batch; texts can be long, so batches are bounded by both.
 BATCH_ROWS = 1_000
 BATCH_BYTES = 16 * 1024 * 1024
@@ -23,32 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkwright.shared.dir", None):
-        return found.rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='linkwright-')}"
-    spark.conf.set("linkwright.shared.dir", made)
-    return made
-
-
-def materialise(spark: SparkSession, df: DataFrame, tag: str, gather: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it again: it is computed once, and a lost executor costs no recomputation.
-
-    gather deals the rows into files of the size that adaptive execution aims at: what a scan of many splits leaves is
-    often much smaller than the splits, and every small file costs its writer and all its readers. The files go when the
-    driver's JVM ends.
-    """
-    if gather:
-        df = df.hint("rebalance")
-    path = f"{shared_dir(spark)}/linkwright/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _HELD: dict = {}
 
 
@@ -62,3 +36,11 @@ def worker_cache(name: str, make: Callable):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one where df has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

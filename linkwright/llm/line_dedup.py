@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, partitions, table, tune
+from .common import fresh, materialise, partitions, table, tune
 
 #: What a key loses at both ends.
 BLANKS = " \t\n\x0b\f\r"
@@ -170,9 +170,10 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[str], int]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with a column _maps: the bitmaps of their doc_id, a few where the id repeats, else null."""
-    maps = bitmaps.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("text_key", "keep")).alias("_maps"))
-    return docs.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    """docs with a last column of the bitmaps of their doc_id, a few where the id repeats, else null."""
+    doc, maps = fresh(docs, "_doc"), fresh(docs, "_maps")
+    of_doc = bitmaps.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("text_key", "keep")).alias(maps))
+    return docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
 
 
 def pick(text: str | None, maps: list[dict] | None) -> bytes | None:
@@ -204,7 +205,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS
                 arrays[chars_at] = pa.array([old if keep is None else None if t is None else len(t) for t, old, keep in zip(texts, arrays[chars_at].to_pylist(), batch.column(maps_at).to_pylist(), strict=True)], arrays[chars_at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:maps_at])
 
-    return joined.select(*docs.columns, "_maps").mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema)
 
 
 def digests(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

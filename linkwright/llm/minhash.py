@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class, and one signature of COORDINATES
 is posted under its coordinate-value pairs. Two classes whose signatures agree in at least MATCHES coordinates share one
 of the rarest pairs of each (all but MATCHES - 1 of the pairs it shares with anyone): only this prefix is posted, and
 the longer lists are skipped and only compared. Collisions of a pair are counted where it first meets, and pairs that
-reach MATCHES are confirmed on their full shingle sets. At a similarity of 0.85 fewer than 14 of 32 coordinates agree
-with a probability of about 1e-8.
+reach MATCHES are confirmed on their full shingle sets. Fewer than 14 of 32 coordinates agree with a probability of about
+1e-6 at a similarity of 0.80, and 1e-8 at 0.85.
 
 Short lists give pairs. A long list is dealt out as pairs of blocks; one task compares two blocks by a product of their
 shingle incidence matrices and returns a spanning forest of the confirmed links, so no list emits its square. Links
@@ -25,12 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, partitions, table, tune, worker_cache
+from .common import fresh, materialise, partitions, table, tune, worker_cache
 from .components import components
 from .line_dedup import text_key
 
 WORDS = 5
-PERCENT = 85
+#: The similarity that links, by default and in the query, whose contract sets its own.
+PERCENT = 80
+QUERY_PERCENT = 85
 COORDINATES = 32
 MATCHES = 14
 #: Members from which a list is dealt out as blocks, and members of a block.
@@ -314,7 +316,8 @@ def first_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS, perc
 
     Rows that repeat a doc_id and text are one document, and stay or go together.
     """
-    gone = near_duplicates(spark, docs, words, percent).where("NOT kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("text_key").alias("_gone"))
+    doc, keys = fresh(docs, "_doc"), fresh(docs, "_gone")
+    gone = near_duplicates(spark, docs, words, percent).where("NOT kept").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("text_key").alias(keys))
     at, gone_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +326,12 @@ def first_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS, perc
             yield batch.filter(pa.array(stays, pa.bool_())).select(docs_columns)
 
     docs_columns = docs.columns
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(*docs_columns, "_gone")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
     return joined.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), percent=QUERY_PERCENT).drop("text_key")
 
 
 ORACLE = r"""

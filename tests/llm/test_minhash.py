@@ -11,7 +11,7 @@ def sets(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=80):
     s = [sets(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -22,7 +22,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]):
                 parent[find(i)] = find(j)
     out = []
     for i, (doc, _) in enumerate(rows):
@@ -63,10 +63,10 @@ def corpus(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_brute_force(spark, documents, seed):
+@pytest.mark.parametrize("seed, percent", [(0, 80), (1, M.QUERY_PERCENT)])
+def test_against_brute_force(spark, documents, seed, percent):
     rows = corpus(seed)
-    assert result(M.near_duplicates(spark, documents(rows).repartition(4))) == brute(rows)
+    assert result(M.near_duplicates(spark, documents(rows).repartition(4), percent=percent)) == brute(rows, percent)
 
 
 def test_long_lists_in_blocks(spark, documents, monkeypatch):
