@@ -303,7 +303,7 @@ def written(m: Column, kind: Column, made: Column, key: str = KEY) -> Column:
 
 def alone(m: Column, kind: Column, made: Column) -> Column:
     """(w, made): what of a mention is replaced wherever it stands alone in the document."""
-    words = F.transform(F.filter(_name_words(m), lambda x: x.plain & x.w.rlike(r"^[\p{L}\p{M}]{2}")), lambda x: F.struct(x.w.alias("w"), _like(x.w, made[F.concat(F.lit("name:"), F.lower(x.w))]).alias("made")))
+    words = F.transform(F.filter(_name_words(m), lambda x: x.plain & (F.length(x.w) > 1) & ~x.w.rlike(r"\.$")), lambda x: F.struct(x.w.alias("w"), _like(x.w, made[F.concat(F.lit("name:"), F.lower(x.w))]).alias("made")))
     number = _national(m)
     digits = F.array(F.struct(number.alias("w"), F.map_values(made)[0].alias("made")))
     return F.when(kind == "name", F.array_distinct(words)).when((kind == "phone") & (F.length(number) >= 7), digits).otherwise(F.array().cast("array<struct<w:string,made:string>>"))
