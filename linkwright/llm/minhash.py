@@ -7,9 +7,13 @@ the longer lists are skipped and only compared. Collisions of a pair are counted
 reach MATCHES are confirmed on their full shingle sets. Fewer than 14 of 32 coordinates agree with a probability of about
 1e-6 at a similarity of 0.80, and 1e-8 at 0.85.
 
-Short lists give pairs. A long list is dealt out as pairs of blocks; one task compares two blocks by a product of their
-shingle incidence matrices and returns a spanning forest of the confirmed links, so no list emits its square. Links
-become components by star contraction; copies of a text are never expanded into pairs.
+Short lists give pairs. Members of a long list are first dealt out as blocks, by a hash that differs from list to list,
+and each block returns a spanning forest of its confirmed links (a product of shingle incidence matrices); the few lists
+that a class stands in first are enough for that. What these links join needs no more comparison: afterwards only members
+of different components meet, a large component in blocks of its own that never meet one another. There the signatures
+are compared first, and full sets go only to members that agree with one of another component. So a group of near copies
+costs rows in proportion to its size, and no list emits its square. Links become components by star contraction; copies
+of a text are never expanded into pairs.
 
 Defined results: texts without words have no shingles and are linked with nothing; a null doc_id is kept and is linked
 by its text, but is no component_id while another id is there; rows that repeat a doc_id and text have one result;
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import fresh, materialise, partitions, table, tune, worker_cache
 from .components import components
@@ -38,6 +42,8 @@ MATCHES = 14
 #: Members from which a list is dealt out as blocks, and members of a block.
 LONG_LIST = 64
 BLOCK = 512
+#: Long lists of a class, the shortest ones, whose blocks are linked before members of different components meet.
+PILOTS = 3
 #: Shingles whose coordinates are computed at once, and cells of one incidence matrix.
 CHUNK = 400_000
 CELLS = 16_000_000
@@ -234,47 +240,91 @@ def forest(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of_blocks(percent: int = PERCENT):
-    """For one pair of blocks of a long list: a spanning forest of its confirmed links."""
+def _candidates(rows: pa.Table) -> np.ndarray:
+    """Which pairs of a list's rows are to be confirmed: near in size, in MATCHES coordinates, and first met in this list.
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        names = rows.column("class").to_pylist()
-        empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        if len(names) < 2:
-            return empty
-        signature = _signature_column(rows.column("signature").chunk(0))
-        mask, n, own = (rows.column(c).to_numpy() for c in ("mask", "n", "own"))
-        coordinate = int(rows.column("token")[0].as_py()) >> 32
-        cross = own[0] != own[-1] or len(set(own.tolist())) > 1 or rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        agree = np.zeros((len(names), len(names)), np.uint8)
-        earlier = np.zeros_like(agree, dtype=bool)
-        for k in range(COORDINATES):
-            same = signature[:, k][:, None] == signature[:, k][None, :]
-            agree += same
-            if k < coordinate:
-                posted = (mask >> k & 1).astype(bool)
-                earlier |= same & posted[:, None] & posted[None, :]
-        near = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        chosen = near & (agree >= MATCHES) & ~earlier
-        if cross:
-            chosen &= own[:, None] != own[None, :]
-        np.fill_diagonal(chosen, False)
-        use = np.flatnonzero(chosen.any(1))
-        if not len(use):
-            return empty
-        sets = [np.frombuffer(rows.column("items")[int(i)].as_py(), np.uint64) for i in use]
-        size = n[use]
-        link = chosen[np.ix_(use, use)] & linked(shared_items(sets), size[:, None], size[None, :], percent)
-        root = forest(link)
-        below = np.flatnonzero(root != np.arange(len(use)))
-        return pa.table({"a": pa.array([names[use[i]] for i in below], pa.binary()), "b": pa.array([names[use[root[i]]] for i in below], pa.binary())})
-
-    return run
+    Rows of one component (comp), and of one block (own) where two blocks meet, are not to be.
+    """
+    signature = _signature_column(rows.column("signature").chunk(0))
+    mask, n, own = (rows.column(c).to_numpy() for c in ("mask", "n", "own"))
+    comp = np.unique(rows.column("comp").to_pylist(), return_inverse=True)[1]
+    coordinate = int(rows.column("token")[0].as_py()) >> 32
+    agree = np.zeros((len(n), len(n)), np.uint8)
+    earlier = np.zeros_like(agree, dtype=bool)
+    for k in range(COORDINATES):
+        same = signature[:, k][:, None] == signature[:, k][None, :]
+        agree += same
+        if k < coordinate:
+            posted = (mask >> k & 1).astype(bool)
+            earlier |= same & posted[:, None] & posted[None, :]
+    near = 100 * np.minimum(n[:, None], n[None, :]) >= rows.column("percent")[0].as_py() * np.maximum(n[:, None], n[None, :])
+    chosen = near & (agree >= MATCHES) & ~earlier & (comp[:, None] != comp[None, :])
+    if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
+        chosen &= own[:, None] != own[None, :]
+    return chosen
+
+
+def with_candidates(rows: pa.Table) -> pa.Table:
+    """The rows of a pair of blocks that have a candidate there."""
+    rows = rows.combine_chunks()
+    return rows.filter(pa.array(_candidates(rows).any(1))) if rows.num_rows > 1 else rows.slice(0, 0)
+
+
+def links_of_blocks(rows: pa.Table) -> pa.Table:
+    """For a block, or two, of a long list: a spanning forest of the confirmed links between components."""
+    rows = rows.combine_chunks()
+    empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    if rows.num_rows < 2:
+        return empty
+    chosen = _candidates(rows)
+    use = np.flatnonzero(chosen.any(1))
+    if not len(use):
+        return empty
+    names, size = rows.column("class").to_pylist(), rows.column("n").to_numpy()[use]
+    sets = [np.frombuffer(rows.column("items")[int(i)].as_py(), np.uint64) for i in use]
+    link = chosen[np.ix_(use, use)] & linked(shared_items(sets), size[:, None], size[None, :], rows.column("percent")[0].as_py())
+    root = forest(link)
+    below = np.flatnonzero(root != np.arange(len(use)))
+    return pa.table({"a": pa.array([names[use[i]] for i in below], pa.binary()), "b": pa.array([names[use[root[i]]] for i in below], pa.binary())})
+
+
+_ROW = ["token", "i", "j", "own", "class", "comp", "signature", "mask", "n", "percent"]
+_LINK = "a binary, b binary"
+
+
+def links_within_blocks(long: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links within the blocks of the PILOTS shortest long lists of each class."""
+    first = F.row_number().over(Window.partitionBy("class").orderBy("m", "token"))
+    some = long.withColumn("rank", first).where(F.col("rank") <= PILOTS)
+    blocks = some.withColumn("own", F.pmod(F.xxhash64("class", "token"), F.ceil(F.col("m") / BLOCK))).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+    return blocks.withColumn("comp", F.col("class")).join(sets, "class").select(*_ROW, "items").groupBy("token", "i", "j").applyInArrow(links_of_blocks, _LINK)
+
+
+def links_across_components(spark: SparkSession, long: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(a, b): links between members of long lists that are not in one component yet; None if there are no such lists."""
+    named = long.join(roots, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class")).drop("node", "root")
+    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("s"))
+    large = F.collect_list(F.when(F.col("s") * 2 >= BLOCK, F.struct("comp", "s")))
+    lists = sizes.groupBy("token").agg(F.sum(F.when(F.col("s") * 2 < BLOCK, F.col("s")).otherwise(0)).alias("rest"), large.alias("large"), F.count("*").alias("comps")).where("comps > 1")
+    lists = materialise(spark, lists.select("token", "rest", "large"), "mixed-lists")
+    if lists.isEmpty():
+        return None
+    # block number: which large component, counted from 1, or 0 for all small ones; and a part of it
+    blocks = F.concat(F.array(F.ceil(F.col("rest") / BLOCK)), F.transform("large", lambda x: F.ceil(x.s / BLOCK)))
+    every = F.flatten(F.transform(blocks, lambda n, c: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: c.cast("bigint") * (1 << 32) + k)))
+    of = F.array_position(F.transform("large", lambda x: x.comp), F.col("comp")).cast("int")
+    placed = named.join(lists, "token").withColumn("of", of).withColumn("own", F.col("of").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("class", "token"), F.greatest(F.get(blocks, "of"), F.lit(1))))
+    others = F.filter(every, lambda o: (F.shiftright(o, 32) != F.col("of")) | (F.col("of") == 0))
+    dealt = placed.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    few = dealt.select(*_ROW).groupBy("token", "i", "j").applyInArrow(with_candidates, dealt.select(*_ROW).schema)
+    return few.join(sets, "class").select(*_ROW, "items").groupBy("token", "i", "j").applyInArrow(links_of_blocks, _LINK)
 
 
 def classes_and_links(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketches, the classes (class, doc, doc_key, n, least) and the confirmed links (a, b) between classes."""
+    """The sketches, the classes (class, doc, doc_key, n, least) and confirmed links (a, b) between classes.
+
+    The links have the components of all links; of those within a component some may be left out.
+    """
     tune(spark)
     docs = docs.select("doc_id", "text")
     sketch = materialise(spark, sketches(docs, words), "sketches", gather=True)
@@ -289,14 +339,16 @@ def classes_and_links(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     sets = materialise(spark, full_sets(docs, posted.select("class", "doc", "key"), words), "sets")
     postings = posted.select(F.explode("tokens").alias("token"), "class", "signature", "mask", "n")
     members = posted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialise(spark, members, "list-sizes", gather=True)
     met = postings.join(members, "token")
     short = met.where(F.col("m") <= LONG_LIST).repartition(partitions(spark), "token").sortWithinPartitions("token", "class")
-    confirmed = confirm(pairs_of_short_lists(short, percent), sets, percent)
-    long = met.where(F.col("m") > LONG_LIST).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    blocks = dealt.join(sets, "class").select("token", "i", "j", "own", "class", "signature", "mask", "n", "items")
-    forests = blocks.groupBy("token", "i", "j").applyInArrow(links_of_blocks(percent), "a binary, b binary")
-    return sketch, classes, confirmed.union(forests)
+    links = confirm(pairs_of_short_lists(short, percent), sets, percent)
+    if members.where(F.col("m") > LONG_LIST).isEmpty():
+        return sketch, classes, links
+    long = materialise(spark, met.where(F.col("m") > LONG_LIST).withColumn("percent", F.lit(percent)), "long-lists")
+    links = materialise(spark, links.union(links_within_blocks(long, sets)), "first-links", gather=True)
+    more = links_across_components(spark, long, components(spark, links), sets)
+    return sketch, classes, links if more is None else links.union(more)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

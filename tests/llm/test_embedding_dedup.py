@@ -61,10 +61,11 @@ def test_edges(spark, cluttered):
     assert result(E.near_vectors(spark, frame(spark, []))) == []
 
 
-def test_every_link_shares_a_filter():
-    """Recall of the filters themselves, over pairs just above the limit."""
+@pytest.mark.parametrize("size", [E.WORDS, E.code_size(100_000), E.code_size(10_000_000)])
+def test_every_link_shares_a_filter(size):
+    """Recall of the filters themselves, over pairs just above the limit, with the codes of larger labels too."""
     rng = np.random.default_rng(9)
-    found = 0
+    found, posted = 0, 0
     for _ in range(500):
         x = rng.standard_normal(64)
         x /= np.linalg.norm(x)
@@ -72,17 +73,20 @@ def test_every_link_shares_a_filter():
         y -= (x @ y) * x
         y /= np.linalg.norm(y)
         z = 0.98 * x + np.sqrt(1 - 0.98**2) * y
-        found += len(np.intersect1d(E.filters(x), E.filters(z))) > 0
-    assert found >= 499
+        found += len(np.intersect1d(E.filters(x, size), E.filters(z, size))) > 0
+        posted += len(E.filters(x, size))
+        assert (np.unpackbits(np.frombuffer(E.sketch(x), np.uint8)) != np.unpackbits(np.frombuffer(E.sketch(z), np.uint8))).sum() <= E.DIFFERENT
+    assert found >= (499 if size == E.WORDS else 490) and posted / 500 < 1.5 * E.LEAST
 
 
-def test_list_decoding_finds_the_best_filters():
+@pytest.mark.parametrize("size", [E.WORDS, 30])
+def test_list_decoding_finds_the_best_filters(size):
     rng = np.random.default_rng(3)
-    rotation, words = E.codes(64)
+    rotation, words, _, cap = E.codes(64, size)
     for _ in range(25):
         x = rng.standard_normal(64)
         x /= np.linalg.norm(x)
         s = np.einsum("bwd,bd->bw", words, (x @ rotation).reshape(E.BLOCKS, -1))
         every = (s[0][:, None, None, None] + s[1][None, :, None, None] + s[2][None, None, :, None] + s[3][None, None, None, :]).ravel()
-        got = E.filters(x)
-        assert set(got.tolist()) == set(np.argsort(-every)[: len(got)].tolist()) and len(got) == max(E.LEAST, int((every >= E.CAP).sum()))
+        got = E.filters(x, size)
+        assert set(got.tolist()) == set(np.argsort(-every)[: len(got)].tolist()) and len(got) == max(E.LEAST, int((every >= cap).sum()))

@@ -79,6 +79,32 @@ def test_long_lists_in_blocks(spark, documents, monkeypatch):
     assert result(M.near_duplicates(spark, documents(rows))) == brute(rows)
 
 
+def test_a_large_group_moves_rows_in_proportion(spark, monkeypatch):
+    """Rows that meet across components: near copies are one component by then, strangers beside them meet its blocks once."""
+    rng = random.Random(11)
+    base, other = (" ".join(f"{p}{rng.randrange(300)}" for _ in range(150)) for p in "xy")
+    seen = {}
+    for n in (300, 600):
+        texts = [near_copies(rng, base, rng.randint(1, 3)) for _ in range(n)] + [near_copies(rng, f"{base} {other}", 2) for _ in range(90)]
+        monkeypatch.setattr(M, "LONG_LIST", 16)
+        monkeypatch.setattr(M, "BLOCK", 40)
+        moved, real = [], M.links_across_components
+
+        def counted(spark, long, roots, sets):
+            named = long.join(roots, F.col("class") == F.col("node"), "left")
+            moved.append(named.count())
+            moved.append(roots.select("root").distinct().count())
+            return real(spark, long, roots, sets)
+
+        monkeypatch.setattr(M, "links_across_components", counted)
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert result(M.near_duplicates(spark, docs)) == brute(rows)
+        monkeypatch.setattr(M, "links_across_components", real)
+        seen[n] = moved
+    assert seen[600][0] < 2.6 * seen[300][0] and seen[300][1] <= 4 and seen[600][1] <= 4
+
+
 def test_edges(spark, documents, cluttered):
     long = " ".join(f"t{i}" for i in range(50_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO\n"), (6, "one two three four five"), (7, long), (8, long + " end"), (9, "x"), (None, "x"), (10, " x"), (11, "É é")]
