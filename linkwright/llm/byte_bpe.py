@@ -5,8 +5,13 @@ for each byte. A recursive query joins neighbouring rows with the merge table an
 least rank, until no pair of any word is in the table. Ids become bytes again by a join with the vocabulary and an
 ordered aggregation. Words met before are taken from a bounded cache of the Python worker.
 
-A pair whose token stands in no earlier token of the vocabulary can form no pair of a lower rank; all its occurrences in
-a word are contracted in one step, with the same result, so that very long words take few steps.
+A long word is cut where no token of the vocabulary that stands in the word spans: no merge can cross such a place, so
+its parts are contracted apart, equal ones once. What is still long is mostly one sign repeated. A pair whose token
+stands in no earlier token of the vocabulary can form no pair of a lower rank; all its occurrences are contracted in one
+step, with the same result. A query makes STEPS steps at most and keeps the rows of each; parts that are not done by then
+go into the next query with their last rows only. A part of over HUGE bytes without any such place (a long run of a few
+signs) can take as many steps as it has bytes, more than a query does in time or holds in memory: it is contracted over
+an array, in each step all pairs of the least rank up to the first one whose contraction makes a pair of a lower rank.
 
 Defined results: a null or empty text has no tokens; a null doc_id is kept; repeated rows are encoded each; an empty
 table gives an empty table; other columns are ignored.
@@ -19,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import islice
 
+import ahocorasick
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -35,6 +41,8 @@ STRETCH_CHARS = 4_000_000
 CACHE_ENTRIES = 800_000
 CACHE_CHARS = 64
 MEMORY = "400MB"
+#: Steps of one recursive query over long parts.
+STEPS = 12
 
 #: The leftmost pair of least rank: rank, position and next position in one integer, so that one minimum finds it.
 _ONE = """
@@ -52,13 +60,13 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
 SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON s.word = l.word AND s.step = l.step ORDER BY s.word, s.pos
 """
 #: For long words: all pairs of the least rank that do not overlap with one before, where that is safe; else the leftmost.
-_ALL = """
+_ALL = f"""
 WITH RECURSIVE state(word, pos, tok, step) AS (
   SELECT word, pos, tok, 0 FROM words
   UNION ALL
   (WITH pairs AS (
      SELECT s.word, s.pos, s.tok, s.step, m.rank, m.apart
-     FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state) s
+     FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state WHERE step < {STEPS}) s
      LEFT JOIN merges m ON s.tok = m.l AND s.nxt = m.r),
    best AS (SELECT word, min(rank) AS rank, min_by(pos, (rank::BIGINT << 32) + pos) AS pos FROM pairs WHERE rank IS NOT NULL GROUP BY word),
    near AS (
@@ -72,10 +80,17 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
    FROM (SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS eaten FROM taken)
    WHERE NOT eaten)
 )
-SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON s.word = l.word AND s.step = l.step ORDER BY s.word, s.pos
+SELECT s.word, s.pos, s.tok, s.step FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON s.word = l.word AND s.step = l.step ORDER BY s.word, s.pos
 """
 #: Bytes from which on a word counts as long.
 LONG = 48
+#: Bytes from which on a part is contracted as an array.
+HUGE = 1_000
+#: Bytes whose tokens are looked up at once, and more than any token has.
+PIECE = 250_000
+LONGEST = 1_000
+#: Over every rank.
+NONE = np.iinfo(np.int32).max
 
 _DECODE = "SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v ON t.tok = v.tok GROUP BY t.word ORDER BY t.word"
 
@@ -95,10 +110,13 @@ class Bpe:
         early = {part for l, r, rank in merges for part in (l, r) if rank < part}
         left, right, rank = zip(*merges, strict=True)
         self.db = duckdb.connect()
-        for setting in ("threads = 1", f"memory_limit = '{MEMORY}'", "preserve_insertion_order = false"):
+        for setting in ("threads = 1", f"memory_limit = '{MEMORY}'", "preserve_insertion_order = false", "temp_directory = ''"):
             self.db.execute(f"SET {setting}")
         self._keep("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32()), "apart": pa.array([x not in early for x in rank])})
         self._keep("vocabulary", {"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+        self.spans = None
+        order = np.argsort(keys := np.array(left, np.int64) << 32 | np.array(right, np.int64))
+        self.pairs, self.pair_ranks = keys[order], np.array(rank, np.int32)[order]
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {b"": b""}
 
@@ -116,19 +134,90 @@ class Bpe:
                 rest.append(i)
             else:
                 found[i] = whole.to_bytes(4, "little")  # a word that is a token is not merged from its bytes
-        for query, chosen in ((_ONE, [i for i in rest if len(raw[i]) < LONG]), (_ALL, [i for i in rest if len(raw[i]) >= LONG])):
-            if not chosen:
-                continue
-            lengths = np.array([len(raw[i]) for i in chosen])
+        parts = {i: self.parts(raw[i]) if len(raw[i]) >= LONG else [raw[i]] for i in rest}
+        merged = self.merge(list(dict.fromkeys(p for own in parts.values() for p in own)))
+        for i, own in parts.items():
+            found[i] = b"".join([merged[p] for p in own])
+        return found
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """word cut at all places that no token which stands in it spans."""
+        if self.spans is None:
+            self.spans = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self.spans.add_word(token.decode("latin-1"), len(token))
+            self.spans.make_automaton()
+        spanned = np.zeros(len(word) + 1, np.int32)
+        for at in range(0, len(word), PIECE):  # a bounded stretch of matches at once; each ends in its own stretch
+            before = max(0, at - LONGEST)
+            both = [(e + before, n) for e, n in self.spans.iter(word[before : at + PIECE].decode("latin-1")) if e + before >= at]
+            if both:
+                end, n = np.array(both).T
+                np.add.at(spanned, end - n + 2, 1)
+                np.add.at(spanned, end + 1, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(spanned)[1 : len(word)] == 0) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def merge(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of each part, contracted from its bytes."""
+        out: dict[bytes, bytes] = {}
+
+        def rows(chosen: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            lengths = np.array([len(p) for p in chosen])
             word = np.repeat(np.arange(len(chosen), dtype=np.int32), lengths)
             pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
-            tok = self.bytes[np.frombuffer(b"".join(raw[i] for i in chosen), np.uint8)]
+            return word, pos, self.bytes[np.frombuffer(b"".join(chosen), np.uint8)]
+
+        def run(query: str, word: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> dict[str, np.ndarray]:
             self._keep("words", {"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)})
-            out = self.db.execute(query).fetchnumpy()
-            ids, ends = np.asarray(out["tok"]).astype("<u4"), np.searchsorted(np.asarray(out["word"]), np.arange(len(chosen) + 1))
-            for k, i in enumerate(chosen):
-                found[i] = ids[ends[k] : ends[k + 1]].tobytes()
-        return found
+            return {k: np.asarray(v) for k, v in self.db.execute(query).fetchnumpy().items()}
+
+        def keep(chosen: list[bytes], done: dict[str, np.ndarray]) -> None:
+            ids, numbers = done["tok"].astype("<u4"), np.unique(done["word"])
+            starts, ends = np.searchsorted(done["word"], numbers), np.searchsorted(done["word"], numbers, side="right")
+            out.update((chosen[k], ids[a:b].tobytes()) for k, a, b in zip(numbers.tolist(), starts.tolist(), ends.tolist(), strict=True))
+
+        if short := [p for p in parts if len(p) < LONG]:
+            keep(short, run(_ONE, *rows(short)))
+        out.update((p, self.contract(p)) for p in parts if len(p) > HUGE)
+        if long := [p for p in parts if LONG <= len(p) <= HUGE]:
+            state = rows(long)
+            while len(state[0]):
+                got = run(_ALL, *state)
+                over = got["step"] < STEPS
+                keep(long, {k: v[over] for k, v in got.items()})
+                state = tuple(got[k][~over].astype(np.int32) for k in ("word", "pos", "tok"))
+        return out
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens; NONE where the table has none."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
+
+    def contract(self, part: bytes) -> bytes:
+        """The packed ids of one part."""
+        tok = self.bytes[np.frombuffer(part, np.uint8)]
+        while len(tok) > 1:
+            rank = self.rank_of(tok[:-1], tok[1:])
+            least = rank.min()
+            if least == NONE:
+                break
+            hits = np.flatnonzero(rank == least)
+            # of a run of overlapping pairs every second one
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(hits) > 1]), hits, 0))
+            hits = hits[(hits - first) % 2 == 0]
+            # what stands beside a pair when its turn comes: before it what is contracted already, after it what is not
+            before, after = tok[np.maximum(hits - 1, 0)], tok[np.minimum(hits + 2, len(tok) - 1)]
+            before[1:][np.diff(hits) == 2] = least
+            made = np.full(len(hits), least, tok.dtype)
+            lower = (hits > 0) & (self.rank_of(before, made) < least) | (hits + 2 < len(tok)) & (self.rank_of(made, after) < least)
+            if lower.any():
+                hits = hits[: int(lower.argmax()) + 1]
+            tok[hits] = least
+            tok = np.delete(tok, hits + 1)
+        return tok.astype("<u4").tobytes()
 
     def decode_words(self, packed: list[bytes]) -> list[bytes]:
         """The bytes that each list of packed ids stands for."""

@@ -30,6 +30,26 @@ def test_same_ids_as_tiktoken_and_back(reference):
         assert decoded == (text or "").encode()
 
 
+def test_very_long_words(reference):
+    """Words of hundreds of thousands of signs without a blank, in the time of a few queries."""
+    rng = random.Random(2)
+    cjk = "".join(chr(0x4E00 + min(int(rng.expovariate(1 / 1500)), 20000)) for _ in range(60_000))
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), cjk, "".join(rng.choice("ABCdefGHIjkl0189+/") for _ in range(200_000))):
+        packed, decoded = next(iter(B.encode_texts([text], PATH)))
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_parts_that_nothing_cuts(monkeypatch):
+    """The array way and the database way give the same ids."""
+    rng = random.Random(3)
+    bpe = B.Bpe(PATH)
+    parts = [b"a" * 9001, b"ab" * 3000, b"=" * 777, "".join(rng.choice("aeinrst") for _ in range(700)).encode(), "été".encode() * 40]
+    got = bpe.merge(parts)
+    assert [bpe.contract(p) for p in parts] == [got[p] for p in parts]
+    monkeypatch.setattr(B, "HUGE", 100)
+    assert bpe.merge(parts) == got
+
+
 def test_full_cache(reference, monkeypatch):
     monkeypatch.setattr(B, "CACHE_ENTRIES", 5)
     rows = [f"word{i} and word{i + 1} again" for i in range(40)]
