@@ -35,8 +35,6 @@ TRAIN_DOCS = 10_000
 MIN_DOCS = 5
 #: Lengths of the beginnings, in characters.
 STEMS = range(3, 8)
-#: Features kept, by the strength of their association with the label.
-FEATURES = 400
 ROUNDS = 1500
 PENALTY = 0.002
 #: Twice the log likelihood ratio by which a feature tells toxic from clean documents, at least.
@@ -102,18 +100,35 @@ def grades(counts: list[dict[bytes, int]], toxic: np.ndarray, telling: dict[byte
     return out
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of few values: value[i] stands in row[i], column[i]."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def turned_times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * v[self.row], self.shape[1])
+
+
+def fit_ordinal(x: Sparse | np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the penalised likelihood of the cumulative-link model.
 
     The first threshold is free and the others lie above it by exponentials; accelerated gradient ascent.
     """
+    if not isinstance(x, Sparse):
+        x = Sparse(*np.nonzero(x), x[np.nonzero(x)], x.shape)
     levels, total = int(y.max()), len(y)
     # examples of one grade without any feature, most of them, count as one
-    plain = ~x.any(1)
+    some = np.unique(x.row)
+    plain = np.ones(total, bool)
+    plain[some] = False
     grades_seen, numbers = np.unique(y[plain], return_counts=True)
-    weight = np.concatenate([np.ones(int((~plain).sum())), numbers])
+    weight = np.concatenate([np.ones(len(some)), numbers])
     mean_at_least = [np.mean(y >= k) for k in range(1, levels + 1)]
-    x, y = np.vstack([x[~plain], np.zeros((len(grades_seen), x.shape[1]))]), np.concatenate([y[~plain], grades_seen])
+    x, y = Sparse(np.searchsorted(some, x.row), x.column, x.value, (len(some) + len(grades_seen), x.shape[1])), np.concatenate([y[some], grades_seen])
     w = np.zeros(x.shape[1])
     rate = np.clip(mean_at_least, 1e-4, 1 - 1e-4)
     base = -np.log(rate / (1 - rate))
@@ -122,7 +137,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: flo
     m, v = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))
     for step in range(1, rounds + 1):
         cuts = np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
-        z = x @ w
+        z = x.times(w)
         up = np.column_stack([np.ones(len(y)), *(sigmoid(z - c) for c in cuts), np.zeros(len(y))])
         rows = np.arange(len(y))
         p = np.maximum(up[rows, y] - up[rows, y + 1], 1e-9)
@@ -131,7 +146,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, penalty: flo
         each = weight[:, None] * slope / p[:, None]
         by_cut = np.array([each[y == k - 1, k].sum() - each[y == k, k].sum() for k in range(1, levels + 1)]) / total
         grad_t = np.concatenate([[by_cut.sum()], [np.exp(t[j]) * by_cut[j:].sum() for j in range(1, levels)]])
-        grad = np.concatenate([x.T @ by_z / total - penalty * w / math.sqrt(total), grad_t])
+        grad = np.concatenate([x.turned_times(by_z) / total - penalty * w / math.sqrt(total), grad_t])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.08 * (1 - 0.9 * step / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += move[: len(w)]
@@ -146,10 +161,9 @@ def fit(examples: list[tuple[dict[bytes, int], int]], telling: dict[bytes, float
         return Model()
     counts = [e[0] for e in examples]
     place = {w: i for i, w in enumerate(sorted(telling))}
-    x = np.zeros((len(counts), len(place)))
-    for i, c in enumerate(counts):
-        for w, n in c.items():
-            x[i, place[w]] = math.log1p(n)
+    cells = [(i, place[w], math.log1p(n)) for i, c in enumerate(counts) for w, n in c.items()]
+    row, column, value = map(np.array, zip(*cells, strict=True)) if cells else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    x = Sparse(row, column, value, (len(counts), len(place)))
     y = np.unique(grades(counts, toxic, telling), return_inverse=True)[1]
     w, cuts = fit_ordinal(x, y)
     return Model({k: float(w[i]) for k, i in place.items()}, [float(c) for c in cuts])
@@ -185,7 +199,8 @@ def _counted(only: set[bytes]):
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the TRAIN_DOCS labelled documents whose doc_id has the least hash.
 
-    The driver gets FEATURES features, and their counts in the sample: both bounded.
+    The driver gets the features of the sample that tell toxic from clean documents, and their counts in it: the sample
+    bounds both.
     """
     named = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
@@ -202,7 +217,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 
     rate = all_bad / max(everyone, 1.0)
     ratio = 2 * (term(bad, some * rate) + term(some - bad, some * (1 - rate)) + term(F.lit(all_bad) - bad, (everyone - some) * rate) + term(everyone - all_bad - some + bad, (everyone - some) * (1 - rate)))
-    strong = tallies.where(bad > some * rate).select("w", ratio.alias("sure")).where(F.col("sure") >= SURE).orderBy(F.desc("sure"), "w").limit(FEATURES)
+    strong = tallies.where(bad > some * rate).select("w", ratio.alias("sure")).where(F.col("sure") >= SURE).orderBy(F.desc("sure"), "w")
     telling = {bytes(r["w"]): r["sure"] for r in strong.collect()}
     rows = texts.mapInArrow(_counted(set(telling)), schema).toArrow()
     pairs = zip(rows.column("counts").to_pylist(), rows.column("toxic").to_pylist(), strict=True)
