@@ -201,7 +201,8 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tune(spark)
     rows = materialise(spark, statistics(docs), "statistics", gather=True)
     sizes = rows.groupBy("lang", "source").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
-    rows = materialise(spark, rows.join(sizes, ["lang", "source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("chunks"))).drop("chunks"), "chunks")
+    # rows are dealt by their place in the table, so that equal rows part too; the table is written, so their places stay
+    rows = materialise(spark, rows.join(sizes, ["lang", "source"]).withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("chunks"))).drop("chunks"), "chunks")
     keys = ["lang", "source", "chunk"]
     names = materialise(spark, rows.select(*keys).distinct(), "chunk-names")
     estimates = rows.groupBy(*keys).applyInArrow(_first, _ESTIMATE)
