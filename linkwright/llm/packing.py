@@ -179,14 +179,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     tune(spark)
-    cut = materialise(spark, pieces(docs, path or public_tokenizers.path(VOCABULARY), capacity, end_id), "pieces", gather=True)
+    # pieces are dealt to blocks by their place, which is written with them, so that equal rows part too
+    cut = pieces(docs, path or public_tokenizers.path(VOCABULARY), capacity, end_id).withColumn("row", F.monotonically_increasing_id())
+    cut = materialise(spark, cut, "pieces", gather=True)
     # at most one row for each length up to the capacity
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     blocks = max(1, -(-sum(histogram.values()) // BLOCK_ROWS))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     counts = dealt.groupBy("block", "length").agg(F.count("*").alias("n"))
     before = counts.select("block", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("block", "length").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("block", "length").orderBy("row"))
     ranked = dealt.withColumn("own", own).join(before, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
     where = spark.sparkContext.broadcast(plan(histogram, capacity))
 
