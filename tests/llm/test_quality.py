@@ -58,3 +58,68 @@ def test_outliers_go_and_clean_rows_stay(spark, cluttered, monkeypatch):
     assert all(x["kept"] for i, *_ in good for x in got[i]) and not any(got[i][0]["kept"] for i, *_ in bad) and len(got[good[5][0]]) == 2
     assert got[2000][0]["base_failed"] and got[2001][0]["n_words"] == 0 and got[2002][0]["base_failed"] and got[2003][0]["kept"] and got[None][0]["kept"]
     assert Q.judge(spark, d.limit(0)).collect() == []
+
+
+def whole_group_estimate(x, rng, starts=200):
+    """Plain FAST-MCD over all rows of a group: random starts of p + 1 rows, two steps each, the ten best to the end."""
+    h = max(1, int(np.ceil(Q.KEEP * len(x))))
+
+    def step(mean, scatter):
+        near = x[np.argsort(Q.distances(x, mean, scatter), kind="stable")[:h]]
+        return near.mean(0), np.cov(near, rowvar=False, bias=True).reshape(Q._P, Q._P)
+
+    def size(estimate):
+        return np.linalg.slogdet(estimate[1] + np.diag(Q.FLOOR**2))[1]
+
+    found = []
+    for _ in range(starts):
+        few = x[rng.choice(len(x), min(len(x), Q._P + 1), replace=False)]
+        found.append(step(*step(few.mean(0), np.cov(few, rowvar=False, bias=True).reshape(Q._P, Q._P))))
+    ends = []
+    for estimate in sorted(found, key=size)[:10]:
+        for _ in range(100):
+            after = step(*estimate)
+            if size(after) >= size(estimate) - 1e-12:
+                break
+            estimate = after
+        ends.append(estimate)
+    return (*min(ends, key=size), h)
+
+
+def plain_distances(documents):
+    """Distance of each (language, source, text) by whole-group estimates; None for rows that fail the base rules."""
+    rng = np.random.default_rng(5)
+    found = [Q.counts(t) for _, _, t in documents]
+    groups = {}
+    for k, (lang, source, _) in enumerate(documents):
+        if not Q.base_failed(found[k]):
+            groups.setdefault((lang or "", source or ""), []).append(k)
+    x = {g: np.array([Q.vector(found[k]) for k in ks]) for g, ks in groups.items()}
+    estimates = {g: whole_group_estimate(x[g], rng) for g in groups}
+    rows = sum(e[2] for e in estimates.values())
+    pooled = sum((e[1] * e[2] for e in estimates.values()), np.zeros((Q._P, Q._P))) / max(rows, 1)
+    out = [None] * len(documents)
+    for g, (mean, scatter, h) in estimates.items():
+        scale = max(1.0, float(np.median(Q.distances(x[g], mean, scatter))) / Q.MEDIAN)
+        d = Q.distances(x[g], mean, (scatter * h + pooled * Q.PRIOR_ROWS) / (h + Q.PRIOR_ROWS)) / scale
+        for k, one in zip(groups[g], d, strict=True):
+            out[k] = float(one)
+    return out
+
+
+# each chunk leaves out a quarter of its rows: in chunks of 60 by chance more than that are odd where a quarter of a group is
+@pytest.mark.parametrize(("chunk_rows", "odd"), [(60, 80), (2_000, 200)])
+def test_verdicts_are_those_of_whole_groups(spark, monkeypatch, chunk_rows, odd):
+    monkeypatch.setattr(Q, "CHUNK_ROWS", chunk_rows)
+    rng = random.Random(9)
+    good, bad = rows()
+    mixed = [(3000 + k, t + " ".join([" #"] * rng.randint(0, 120)) + "\nsame line here" * rng.randint(0, 12), lang, source) for k, (_, t, lang, source) in enumerate(good[:odd])]
+    every = [*good, *bad, *mixed]
+    want = dict(zip((r[0] for r in every), plain_distances([(lang, source, t) for _, t, lang, source in every]), strict=True))
+    got = {r["doc_id"]: r for r in Q.judge(spark, spark.createDataFrame(every, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(every)
+    # the estimates are not the same, so rows within a fifth of the limit may fall to either side
+    sure = [i for i, d in want.items() if d is None or not 0.8 * Q.CUTOFF < d < 1.25 * Q.CUTOFF]
+    assert len(sure) > 0.9 * len(every)
+    assert [i for i in sure if got[i]["kept"] != (want[i] is not None and want[i] <= Q.CUTOFF)] == []
+    assert 20 < sum(not r["kept"] for r in got.values()) < len(bad) + odd + 1
