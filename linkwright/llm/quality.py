@@ -3,10 +3,14 @@
 The counts become a vector of transformed statistics. Location and scatter of each (language, source) are estimated by
 the minimum covariance determinant in nested subsets: the rows of a group are dealt into chunks of about CHUNK_ROWS,
 concentration steps run from several starts in every chunk, the chunks' estimates are merged, and further concentration
-steps over all rows of the group follow, in which every chunk keeps the nearest KEEP of its rows. All rows take part;
-a group may hold any share of the corpus, as only chunks meet in a task. Small groups lean on the merged scatter of all
-groups. A row is rejected if its squared Mahalanobis distance, scaled so that the median row is a normal one, exceeds
-CUTOFF. Rows that fail the base rules take no part in the estimates.
+steps over all rows of the group follow, in which every chunk keeps the nearest half of its rows. Then the scatter, made
+consistent for normal rows, weighs the rows: those within NEAR give the last estimate. All rows take part; a group may
+hold any share of the corpus, as only chunks meet in a task. Small groups lean on the merged scatter of all groups. A row
+is rejected if its squared Mahalanobis distance exceeds CUTOFF. Rows that fail the base rules take no part in the
+estimates.
+
+The estimate sets the scale where the ordinary rows of a group vary. The three shares are nought in most texts, so their
+scatter is often nought too; RESOLUTION is added to the deviations there and keeps the scatter invertible.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language or source is the group of
 the empty name; a null doc_id is kept; repeated rows are judged each; an empty table gives an empty table; other columns
@@ -28,19 +32,20 @@ from .minhash import word_hashes
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 CHUNK_ROWS = 2_000
-#: The share of rows that an estimate rests on.
-KEEP = 0.75
 STEPS = 30
 FULL_STEPS = 2
 #: Rows that the scatter of all groups weighs in a group.
 PRIOR_ROWS = 100
-#: Chi-squared with 5 degrees of freedom exceeds this with a probability of about 1e-14: only what is no variation goes.
-CUTOFF = 75.0
-#: The median of chi-squared with 5 degrees of freedom.
-MEDIAN = 4.3515
+#: Half of normal rows in five dimensions have a scatter smaller than all of them by this factor.
+CONSISTENCY = 1.9122
+#: Chi-squared with 5 degrees of freedom: the quantile that rows of the last estimate lie within, and the one of a rejection,
+#: which a normal row exceeds with a probability of 1e-6.
+NEAR = 12.833
+CUTOFF = 35.888
 STATISTICS = ("log words", "log word length", "symbol share", "repeated share", "doubled lines")
-#: The least standard deviations of the statistics: smaller differences are no signal, however uniform a group is.
-FLOOR = np.array([0.5, 0.08, 0.03, 0.12, 0.12])
+#: Deviations that are no signal even where a group is uniform: a percent of words; the sampling error of a mean word length
+#: over a hundred words; one symbol in 400 characters; one window of three or one line that a text of 45 lines repeats.
+RESOLUTION = np.array([0.01, 0.05, 0.05, 0.15, 0.15])
 _P = len(STATISTICS)
 
 _BLANKS = " \t\n\x0b\f\r"
@@ -104,7 +109,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 _NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lang", "source", "x"]
 _SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, lang string, source string, x array<double>"
-_ESTIMATE = "lang string, source string, n bigint, kept bigint, total array<double>, products array<double>, median double"
+_ESTIMATE = "lang string, source string, kept bigint, total array<double>, products array<double>"
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -112,14 +117,19 @@ def _matrix(rows: pa.Table) -> np.ndarray:
 
 
 def distances(x: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> np.ndarray:
-    """Squared Mahalanobis distances. The floor keeps the scatter invertible."""
+    """Squared Mahalanobis distances."""
     apart = x - mean
-    return np.einsum("ij,ij->i", apart @ np.linalg.inv(scatter + np.diag(FLOOR**2)), apart)
+    return np.einsum("ij,ij->i", apart @ np.linalg.inv(scatter + np.diag(RESOLUTION**2)), apart)
+
+
+def half(n: int) -> int:
+    """The rows that an estimate of least determinant rests on: the fewest that stand for most of n rows."""
+    return min(n, (n + _P + 1) // 2)
 
 
 def concentrate(x: np.ndarray, mean: np.ndarray, scatter: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Concentration steps: the nearest rows give the next estimate, until the rows stay the same."""
-    h, before = max(1, int(np.ceil(KEEP * len(x)))), None
+    h, before = half(len(x)), None
     for _ in range(steps):
         near = np.argpartition(distances(x, mean, scatter), h - 1)[:h]
         near.sort()
@@ -127,31 +137,33 @@ def concentrate(x: np.ndarray, mean: np.ndarray, scatter: np.ndarray, steps: int
             break
         before, mean = near, x[near].mean(0)
         scatter = (x[near] - mean).T @ (x[near] - mean) / h
-    return mean, scatter, float(np.linalg.slogdet(scatter + np.diag(FLOOR**2))[1])
+    return mean, scatter, float(np.linalg.slogdet(scatter + np.diag(RESOLUTION**2))[1])
 
 
 def minimum_determinant(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The estimate of least determinant from three starts: medians and deviations, spatial signs, all rows."""
     middle = np.median(x, 0)
     spread = np.median(np.abs(x - middle), 0) * 1.4826
-    scaled = (x - middle) / np.maximum(spread, FLOOR)
+    scaled = (x - middle) / np.maximum(spread, RESOLUTION)
     signs = scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-9)
-    unit = np.maximum(spread, FLOOR)
+    unit = np.maximum(spread, RESOLUTION)
     starts = [(middle, np.diag(spread**2)), (middle, signs.T @ signs / len(x) * _P * np.outer(unit, unit)), (x.mean(0), np.cov(x, rowvar=False, bias=True))]
     best = min((concentrate(x, *s) for s in starts), key=lambda e: e[2])
     return best[0], best[1]
 
 
-def _sums(lang: str, source: str, x: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> pa.Table:
-    """One row: the sums over the nearest rows, and the median distance of all."""
-    d = distances(x, mean, scatter)
-    h = max(1, int(np.ceil(KEEP * len(x))))
-    near = x[np.argpartition(d, h - 1)[:h]]
-    return pa.table({"lang": [lang], "source": [source], "n": [len(x)], "kept": [h], "total": [near.sum(0).tolist()], "products": [(near.T @ near).ravel().tolist()], "median": [float(np.median(d))]})
+def _sums(lang: str, source: str, x: np.ndarray, mean: np.ndarray, scatter: np.ndarray, last: bool = False) -> pa.Table:
+    """One row: the sums over the nearest half of the rows, or over all that lie within NEAR."""
+    if last:
+        near = x[distances(x, mean, scatter * CONSISTENCY) <= NEAR]
+    else:
+        h = half(len(x))
+        near = x[np.argpartition(distances(x, mean, scatter), h - 1)[:h]]
+    return pa.table({"lang": [lang], "source": [source], "kept": pa.array([len(near)], pa.int64()), "total": [near.sum(0).tolist()], "products": [(near.T @ near).ravel().tolist()]})
 
 
 def _nothing() -> pa.Table:
-    return pa.schema([("lang", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("kept", pa.int64()), ("total", pa.list_(pa.float64())), ("products", pa.list_(pa.float64())), ("median", pa.float64())]).empty_table()
+    return pa.schema([("lang", pa.string()), ("source", pa.string()), ("kept", pa.int64()), ("total", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))]).empty_table()
 
 
 def _first(key: tuple, rows: pa.Table) -> pa.Table:
@@ -159,41 +171,42 @@ def _first(key: tuple, rows: pa.Table) -> pa.Table:
     return _sums(key[0].as_py(), key[1].as_py(), x, *minimum_determinant(x)) if len(x) else _nothing()
 
 
-def _unpack(estimate: pa.Table) -> tuple[np.ndarray, np.ndarray, float]:
+def _unpack(estimate: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     row = estimate.slice(0, 1).to_pylist()[0]
-    return np.array(row["mean"]), np.array(row["scatter"]).reshape(_P, _P), row["scale"]
+    return np.array(row["mean"]), np.array(row["scatter"]).reshape(_P, _P)
 
 
-def _next(key: tuple, rows: pa.Table, estimate: pa.Table) -> pa.Table:
-    x = _matrix(rows.filter(pa.compute.invert(rows.column("base_failed"))))
-    if not len(x) or not estimate.num_rows:
-        return _nothing()
-    mean, scatter, _ = _unpack(estimate)
-    return _sums(key[0].as_py(), key[1].as_py(), x, mean, scatter)
+def _step(last: bool):
+    def step(key: tuple, rows: pa.Table, estimate: pa.Table) -> pa.Table:
+        x = _matrix(rows.filter(pa.compute.invert(rows.column("base_failed"))))
+        if not len(x) or not estimate.num_rows:
+            return _nothing()
+        return _sums(key[0].as_py(), key[1].as_py(), x, *_unpack(estimate), last)
+
+    return step
 
 
 def _judge(_key: tuple, rows: pa.Table, estimate: pa.Table) -> pa.Table:
     failed = rows.column("base_failed").to_numpy()
     d = np.zeros(rows.num_rows)
     if estimate.num_rows and rows.num_rows:
-        mean, scatter, scale = _unpack(estimate)
-        d = distances(_matrix(rows), mean, scatter) / scale
+        d = distances(_matrix(rows), *_unpack(estimate))
     kept = ~failed & (d <= CUTOFF)
     return rows.select(_NAMES[:7]).append_column("kept", pa.array(kept)).append_column("distance", pa.array(d))
 
 
 def merged(estimates: DataFrame) -> DataFrame:
-    """(lang, source, mean, scatter, scale) of each group from its chunks' sums, small groups drawn to all groups' scatter."""
+    """(lang, source, mean, scatter) of each group from its chunks' sums, small groups drawn to all groups' scatter."""
     items = lambda column, n: [F.sum(F.col(column)[i]).alias(f"{column}{i}") for i in range(n)]
-    sums = estimates.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum(F.col("median") * F.col("n")).alias("median"), *items("total", _P), *items("products", _P * _P))
+    sums = estimates.groupBy("lang", "source").agg(F.sum("kept").alias("kept"), *items("total", _P), *items("products", _P * _P)).where("kept > 0")
     mean = [F.col(f"total{i}") / F.col("kept") for i in range(_P)]
     own = [F.col(f"products{i * _P + j}") / F.col("kept") - mean[i] * mean[j] for i in range(_P) for j in range(_P)]
-    groups = sums.select("lang", "source", "n", "kept", (F.col("median") / F.col("n")).alias("median"), F.array(*mean).alias("mean"), *(c.alias(f"s{k}") for k, c in enumerate(own)))
+    groups = sums.select("lang", "source", "kept", F.array(*mean).alias("mean"), *(c.alias(f"s{k}") for k, c in enumerate(own)))
     pooled = groups.agg(*(F.coalesce(F.sum(F.col(f"s{k}") * F.col("kept")) / F.sum("kept"), F.lit(0.0)).alias(f"p{k}") for k in range(_P * _P)))
     # one row of scatter meets one row for each group
     both = groups.join(F.broadcast(pooled))
     scatter = F.array(*((F.col(f"s{k}") * F.col("kept") + F.col(f"p{k}") * PRIOR_ROWS) / (F.col("kept") + PRIOR_ROWS) for k in range(_P * _P)))
-    return both.select("lang", "source", "mean", scatter.alias("scatter"), F.greatest(F.lit(1.0), F.col("median") / MEDIAN).alias("scale"))
+    return both.select("lang", "source", "mean", scatter.alias("scatter"))
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -211,8 +224,8 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
         """The estimate of its group for each chunk."""
         return names.join(materialise(spark, merged(estimates), tag), ["lang", "source"])
 
-    for _ in range(FULL_STEPS):
-        estimates = rows.groupBy(*keys).cogroup(by_chunk(estimates, "estimates").groupBy(*keys)).applyInArrow(_next, _ESTIMATE)
+    for last in [False] * FULL_STEPS + [True]:
+        estimates = rows.groupBy(*keys).cogroup(by_chunk(estimates, "estimates").groupBy(*keys)).applyInArrow(_step(last), _ESTIMATE)
     schema = ", ".join(_SCHEMA.split(", ")[:7]) + ", kept boolean, distance double"
     return rows.groupBy(*keys).cogroup(by_chunk(estimates, "estimates").groupBy(*keys)).applyInArrow(_judge, schema)
 
