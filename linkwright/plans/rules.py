@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..functions import relations as R, text as T
-from ..operators import blocking as B, rules as E
+from ..functions import relations as R, similarity as S, text as T
+from ..operators import blocking as B, consensus as C, rules as E
 from ..operators.decision import assign_exclusive
 from .scored_pairs import THRESHOLD
 
 CAPS = {2: 2, 3: 3}
 SURE = 0.4
 SPEC = "swap_all:0.5,legalhouse:0.45,thrp:0.3,typeswap:1.01:0.5:1,protect:0.28,cap"
+#: The rules that part names as they are never meet.
+SHAPE_SPECS = {
+    "swap_beside_exact": "swap_exact:0.6", "weak_name": "weak:60:0.6:shared", "french_forms": "legalx:0.6", "protected_shapes": "thrpk:0.6:alias", "exact_far": "exactfar:0.6:90", "swap_no_noise": "swapn:0.6",
+    "kind_in_band": "kind:other:2:0.55:0.26", "core_differs": "thrx:0.5", "type_inserted": "typeins:0.6:0.5", "external_score": "xfr:other:0.3:0.6", "tiny_name": "tiny:0.6", "legal_and_house": "legalhouse:0.6",
+}
 EDGES = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 1.01]
 
 
-def _features(spark, sf_dir):
+def _shapes(d):
+    """Links with names in the shapes that part names lack, by the house of b: a type word or a noise word added, three letters, a noise word swapped in."""
+    b, first = F.col("b_core"), F.element_at(F.split("a_core", " "), 1)
+    shapes = [b, F.concat_ws(" ", b, "b_legal"), F.substring(b, 1, 3), F.concat_ws(" ", b, F.lit("fils")), F.concat_ws(" ", first, F.lit("groupe"))]
+    return d.withColumn("b_core", F.element_at(F.array(*shapes), F.col("b_house") % 5 + 1))
+
+
+def _features(spark, sf_dir, shape=lambda d: d):
     """Features of every pair: names, legal forms, houses, and the swap flag."""
-    d = adapters.part_links(spark, sf_dir)
+    d = shape(adapters.part_links(spark, sf_dir))
     df = R.word_frequency(adapters.parts(spark, sf_dir))
     d = R.with_protection(R.swap_flag(d.drop("label"), df))
     conflict = ((F.col("a_legal") != "") & (F.col("b_legal") != "") & (F.col("a_legal") != F.col("b_legal"))).cast("int")
@@ -29,6 +41,20 @@ def _owned(spark, sf_dir):
     return assign_exclusive(_features(spark, sf_dir)).where(F.col("p") >= THRESHOLD)
 
 
+def _shaped(spark, sf_dir):
+    """Owned pairs of shaped names, with what the other rules look at."""
+    d = assign_exclusive(_features(spark, sf_dir, _shapes)).where(F.col("p") >= THRESHOLD)
+    exact = d.where(F.col("core_eq") & (F.col("p") >= SURE)).groupBy("q").agg(F.count("*").alias("n_exact"))
+    at = C.address_multiplicity(adapters.parts(spark, sf_dir).select("rid", "addr")).select(F.col("rid").alias("a_rid"), "addr_n")
+    both = F.size(R.shared()) / F.size(F.array_union(R.word_set(F.col("a_core")), R.word_set(F.col("b_core"))))
+    form = lambda c: F.when(c % 7 > 0, F.array(F.element_at(F.array(*map(F.lit, R.FR_FORMS)), c % 10 + 1))).otherwise(F.array().cast("array<string>"))
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    return d.join(exact, "q", "left").na.fill(0, ["n_exact"]).join(at, "a_rid").withColumns({
+        "name_tset": 100 * both, "glue": S.measure(bare("a_core"), bare("b_core"), "matcher"), "kind": R.restore_kind(), "a_forms": form(F.col("a_house")), "b_forms": form(F.col("b_house")),
+        "score_other": F.pmod(F.col("pid") + F.col("q"), F.lit(100)) / 100,
+    })
+
+
 def _slots(spark, sf_dir):
     return E.slots(_owned(spark, sf_dir), adapters.universe(spark, sf_dir), SURE)
 
@@ -92,6 +118,21 @@ rule_type_swap, rule_type_conflict = _one("typeswap:1.01:0.5:1"), _one("typeconf
 rule_any_fired = _one("swap_all:0.5,legalhouse:0.45,thrp:0.3")
 
 
+def _on_shapes(spec):
+    def query(spark, sf_dir):
+        total = adapters.parts(spark, sf_dir).groupBy(F.col("legal").alias("w")).agg(F.count("*").alias("n_full"))
+        types = total.select("w", "n_full", F.lit(100).alias("n_empty"), F.lit(1.0).alias("ratio")) if "type" in spec else None
+        return _shown(E.fired(_shaped(spark, sf_dir), E.parse(spec), E.Vocabulary(types)))
+
+    return query
+
+
+def rule_alias_protection(spark, sf_dir):
+    """A pool alias that holds all words of the query's name: here b's own name, where the houses are even."""
+    alias = F.when(F.col("b_house") % 2 == 0, F.col("b_core")).otherwise("")
+    return _shown(E.fired(_shaped(spark, sf_dir).withColumn("b_alias", alias), E.parse("thr:0.5")))
+
+
 def protect_emptied(spark, sf_dir):
     return _shown(E.protect(E.fired(_owned(spark, sf_dir), E.parse("thr:0.4,swap_all:0.5")), 0.28))
 
@@ -162,6 +203,21 @@ _SWAP = lambda t, out: f"""{out}0 AS (SELECT *, {_DIFF('a_core', 'b_core')} AS d
 _F = f"""{_L}, {_FREQ}, {_SWAP('links', 'sw')},
   feat AS (SELECT *, a_core = b_core AS eq, (a_legal <> b_legal AND a_legal <> '' AND b_legal <> '') AS conflict, a_house = b_house AS same_house FROM sw),
   own AS (SELECT * FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY pid ORDER BY p DESC, q) = 1) WHERE p >= {THRESHOLD})"""
+_KIND = f"""CASE WHEN a_core = b_core THEN 'exact' WHEN {_STRIP('a_core')} = {_STRIP('b_core')} THEN 'spelled_legal'
+  WHEN length(b_core) BETWEEN 2 AND 3 AND NOT contains(b_core, ' ') AND starts_with(array_to_string(list_transform(string_split(a_core, ' '), lambda w: w[1]), ''), b_core) THEN 'initials'
+  WHEN replace(a_core, ' ', '') = replace(b_core, ' ', '') THEN 'glued' WHEN len(gone) = 1 AND len(new) = 1 AND new[1] IN ('fils', 'groupe', 'services', 'developpement') THEN 'noise_swap'
+  WHEN len(gone) <= 1 AND len(new) >= 1 AND len(list_filter(new, lambda w: w NOT IN ('fils', 'groupe', 'services', 'developpement', 'and', 'et', 'associes'))) = 0
+    AND len(list_filter(new, lambda w: w IN ('fils', 'groupe', 'services', 'developpement', 'associes'))) > 0 THEN 'noise_extra' ELSE 'other' END"""
+_INITIALS = "array_to_string(list_transform(string_split(a_core, ' '), lambda w: w[1]), '')"
+_FORM = lambda c: f"CASE WHEN {c} % 7 > 0 THEN [{R.FR_FORMS}[{c} % 10 + 1]] ELSE [] END"
+#: Shapes as the plan makes them, whose noise words are two; a name is spared if it is equal, initials, or noise words apart.
+_S = f"""{_L}, {_FREQ}, shaped AS (SELECT * REPLACE ([b_core, b_core || ' ' || b_legal, b_core[1:3], b_core || ' fils', string_split(a_core, ' ')[1] || ' groupe'][b_house % 5 + 1] AS b_core) FROM links), {_SWAP('shaped', 'sw')},
+  own0 AS (SELECT * FROM (SELECT * FROM sw QUALIFY row_number() OVER (PARTITION BY pid ORDER BY p DESC, q) = 1) WHERE p >= {THRESHOLD}),
+  near AS (SELECT addr, count(*) AS addr_n FROM parts GROUP BY addr),
+  own1 AS (SELECT o.*, n.addr_n, {_DIFF('a_core', 'b_core')} AS gone, {_DIFF('b_core', 'a_core')} AS new, len({_SETS.format('a_core')}) AS na, count(*) FILTER (WHERE a_core = b_core AND p >= {SURE}) OVER (PARTITION BY q) AS n_exact,
+    a_core = b_core AS eq, a_house = b_house AS same_house, a_legal <> b_legal AND a_legal <> '' AND b_legal <> '' AS conflict FROM own0 o JOIN near n ON n.addr = o.a_addr),
+  own2 AS (SELECT *, na - len(gone) AS alike, len(gone) <= 1 AND len(new) >= 1 AND len(list_filter(new, lambda w: w NOT IN ('fils', 'groupe'))) = 0 AS noise, {_KIND} AS kind, length(b_core) BETWEEN 2 AND 3 AND NOT contains(b_core, ' ') AND starts_with({_INITIALS}, b_core) AS ini FROM own1),
+  own AS (SELECT *, eq OR ini OR noise AS spared FROM own2)"""
 _SLOTS = f"""exact AS (SELECT q, src, count(*) AS k FROM own WHERE eq AND p >= {SURE} GROUP BY ALL),
   slot AS (SELECT u.q, s.src, coalesce(k, 0) AS k FROM universe u CROSS JOIN (VALUES (2), (3)) s(src) LEFT JOIN exact e ON e.q = u.q AND e.src = s.src)"""
 _VOCAB = f"""{_F}, {_SLOTS}, ns AS (SELECT count(*) FILTER (WHERE k >= 1) AS a, count(*) FILTER (WHERE k = 0) AS b FROM slot),
@@ -179,11 +235,6 @@ def _fire(*rules: tuple[str, str]) -> str:
 _THRP = lambda t: f"p < {t} AND NOT eq"
 _TYPES = "(SELECT w FROM vocab WHERE ratio >= 0.5 AND n_full + n_empty >= {0})"
 _RELOW = f"least(p, {THRESHOLD}::DOUBLE - 1e-6::DOUBLE)"
-_KIND = f"""CASE WHEN a_core = b_core THEN 'exact' WHEN {_STRIP('a_core')} = {_STRIP('b_core')} THEN 'spelled_legal'
-  WHEN length(b_core) BETWEEN 2 AND 3 AND NOT contains(b_core, ' ') AND starts_with(array_to_string(list_transform(string_split(a_core, ' '), lambda w: w[1]), ''), b_core) THEN 'initials'
-  WHEN replace(a_core, ' ', '') = replace(b_core, ' ', '') THEN 'glued' WHEN len(gone) = 1 AND len(new) = 1 AND new[1] IN ('fils', 'groupe', 'services', 'developpement') THEN 'noise_swap'
-  WHEN len(gone) <= 1 AND len(new) >= 1 AND len(list_filter(new, lambda w: w NOT IN ('fils', 'groupe', 'services', 'developpement', 'and', 'et', 'associes'))) = 0
-    AND len(list_filter(new, lambda w: w IN ('fils', 'groupe', 'services', 'developpement', 'associes'))) > 0 THEN 'noise_extra' ELSE 'other' END"""
 _FREE = lambda thr, cond, join: f"""ow AS (SELECT q, pid, src FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY pid ORDER BY p DESC, q) = 1) WHERE p >= {thr}),
   us AS (SELECT q, src, count(*) AS used FROM ow GROUP BY ALL),
   fr AS (SELECT x.*, coalesce(used, 0) AS used, CASE x.src WHEN 2 THEN 2 ELSE 3 END AS cap FROM {join} x LEFT JOIN us ON us.q = x.q AND us.src = x.src WHERE x.pid NOT IN (SELECT pid FROM ow)),
@@ -196,7 +247,8 @@ _RARE = f"""WITH {adapters.RECORDS}, wc AS (SELECT s, w, count(*) AS n FROM (SEL
 QUERIES = {
     **{f.__name__: f for f in (word_swap_flag, name_relation_kind, band_relation_kind, spaced_legal_forms, initials_subsequence, type_word_vocabulary, slot_occupancy)},
     "rule_threshold": rule_threshold, "rule_legal_conflict": rule_legal_conflict, "rule_swap": rule_swap, "rule_noise_spared": rule_noise_spared, "rule_type_swap": rule_type_swap,
-    "rule_type_conflict": rule_type_conflict, "rule_any_fired": rule_any_fired,
+    "rule_type_conflict": rule_type_conflict, "rule_any_fired": rule_any_fired, "rule_alias_protection": rule_alias_protection,
+    **{f"rule_{name}": _on_shapes(spec) for name, spec in SHAPE_SPECS.items()},
     **{f.__name__: f for f in (protect_emptied, drop_list, restore_unowned, add_list, rule_cap, decode_rules, cell_rate_excess, score_bins, posterior_cuts, rare_street_words, namesakes)},
 }
 ORACLES = {
@@ -219,6 +271,22 @@ ORACLES = {
     "rule_type_conflict": f"{_VOCAB}, tw AS (SELECT coalesce(list(w), []) AS ws FROM vocab WHERE ratio >= 0.5 AND n_full + n_empty >= 100) "
     + _fire(("typeconf", f"p < 1.01 AND len(list_intersect({_DIFF('a_core', 'b_core')}, (SELECT ws FROM tw))) > 0 AND len(list_intersect({_DIFF('b_core', 'a_core')}, (SELECT ws FROM tw))) > 0")),
     "rule_any_fired": f"{_F} {_fire(('swap_all', 'swap AND p < 0.5'), ('legalhouse', 'conflict AND NOT same_house AND p < 0.45'), ('thrp', _THRP(0.3)))}",
+    "rule_swap_beside_exact": f"{_S} {_fire(('swap_exact', 'swap AND n_exact >= 1 AND p < 0.6'))}",
+    "rule_weak_name": f"{_S} {_fire(('weak', '100.0 * alike / (alike + len(gone) + len(new)) < 60 AND same_house AND p < 0.6 AND addr_n >= 2'))}",
+    "rule_french_forms": f"{_S} {_fire(('legalx', f'a_house % 7 > 0 AND b_house % 7 > 0 AND len(list_intersect({_FORM("a_house")}, {_FORM("b_house")})) = 0 AND p < 0.6'))}",
+    # no three letters are alike enough to a whole name to count as glued
+    "rule_protected_shapes": f"""{_S}, keep AS (SELECT q, pid, spared OR (len(gone) = 0 AND len(list_filter(new, lambda w: w NOT IN ('fils', 'groupe', 'services', 'developpement', 'france', 'and', 'et', 'associes', 'cie'))) = 0)
+        OR (length(b_core) BETWEEN 2 AND 4 AND NOT contains(b_core, ' ') AND starts_with({_INITIALS}, b_core)) OR (len(gone) >= 1 AND len(new) = 0) OR (len(gone) + len(new) >= 3 AND alike >= 1) OR (alike = 0 AND addr_n = 1) AS k FROM own)
+      """ + _fire(("thrpk", "p < 0.6 AND (SELECT NOT k FROM keep WHERE keep.q = own.q AND keep.pid = own.pid)")),
+    "rule_exact_far": f"{_S} {_fire(('exactfar', 'eq AND p < 0.6 AND NOT same_house'))}",
+    "rule_swap_no_noise": f"{_S} {_fire(('swapn', 'swap AND NOT noise AND p < 0.6'))}",
+    "rule_kind_in_band": f"""{_S} {_fire(('kind', "kind = 'other' AND src = 2 AND p < 0.55 AND p >= 0.26 AND NOT spared"))}""",
+    "rule_core_differs": f"{_S} {_fire(('thrx', 'p < 0.5 AND NOT eq'))}",
+    "rule_type_inserted": f"{_S} {_fire(('typeins', 'len(gone) = 0 AND len(new) = 1 AND p < 0.6 AND new[1] IN (SELECT legal FROM parts)'))}",
+    "rule_external_score": f"{_S} {_fire(('xfr', '((pid + q) % 100) / 100 < 0.3 AND p < 0.6'))}",
+    "rule_tiny_name": f"{_S} {_fire(('tiny', "length(b_core) <= 3 AND NOT contains(b_core, ' ') AND p < 0.6 AND NOT ini"))}",
+    "rule_legal_and_house": f"{_S} {_fire(('legalhouse', 'conflict AND NOT same_house AND p < 0.6'))}",
+    "rule_alias_protection": f"""{_S} SELECT q, pid, p, CASE WHEN p < 0.5 THEN 'thr' ELSE '' END AS fired, p < 0.5 AND NOT (b_house % 2 = 0 AND len(gone) = 0) AS dropped FROM own""",
     "protect_emptied": f"""{_F}, fi AS ({_fire(('thr', 'p < 0.4'), ('swap_all', 'swap AND p < 0.5'))}), al AS (SELECT *, bool_or(NOT dropped) OVER (PARTITION BY q) AS alive FROM fi),
       may AS (SELECT *, dropped AND fired = 'thr' AND p >= 0.28 AND NOT alive AS may FROM al)
       SELECT q, pid, p, fired, dropped AND NOT (may AND row_number() OVER (PARTITION BY q, may ORDER BY p DESC, pid) = 1) AS dropped FROM may""",
