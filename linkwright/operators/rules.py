@@ -70,9 +70,8 @@ def _typeswap(k: list[str], words: Vocabulary) -> Column:
     chosen = words.above(_arg(k, 2, 0.75), int(_arg(k, 3, 100)))
     c = F.col("swap") & _below(k, 1)
     if len(k) > 4 and int(k[4]):
-        common = words.common(int(k[4]))
-        chosen = [w for w in chosen if w in common and w not in [*R.NOISE, "france", "associes", "cie"]]
-        c = c & (F.col("xa").isin(*common) if common else F.lit(False))
+        chosen = [w for w in chosen if w not in [*R.NOISE, "france", "associes", "cie"]]
+        c = c & F.col(f"_xa_{int(k[4])}") & F.col(f"_xb_{int(k[4])}")
     return c & (F.col("xb").isin(*chosen) if chosen else F.lit(False))
 
 
@@ -89,8 +88,8 @@ def _typeins(k: list[str], words: Vocabulary) -> Column:
 class Vocabulary:
     """Type words learnt from the data: words that come in by swaps for queries whose slots are already full of exact copies.
 
-    rates: (w, n_full, n_empty, ratio); frequency: (w, df) of the queries' names. Both are as small as the words of
-    owned swapped pairs, and only the words above a rule's limits come to the driver.
+    rates: (w, n_full, n_empty, ratio); frequency: (w, df) of the queries' names. Of the rates the words above a rule's
+    limits come to the driver; the frequencies, which grow with the names, are joined.
     """
 
     def __init__(self, rates: DataFrame | None = None, frequency: DataFrame | None = None):
@@ -101,10 +100,15 @@ class Vocabulary:
             return []
         return sorted(r["w"] for r in self.rates.where((F.col("ratio") >= ratio) & (F.col("n_full") + F.col("n_empty") >= pairs)).select("w").collect())
 
-    def common(self, df_min: int) -> list[str]:
+    def with_common(self, owned: DataFrame, df_min: int) -> DataFrame:
+        """owned with _xa_N and _xb_N: whether the swapped words are in at least N = df_min names, abbreviations aside."""
+        flags = [f"_{side}_{df_min}" for side in ("xa", "xb")]
         if self.frequency is None:
-            return []
-        return sorted(r["w"] for r in self.frequency.where(F.col("df") >= df_min).where(~F.col("w").isin(*R.ABBREVIATIONS)).select("w").collect())
+            return owned.withColumns({f: F.lit(False) for f in flags})
+        common = self.frequency.where((F.col("df") >= df_min) & ~F.col("w").isin(*R.ABBREVIATIONS))
+        for side, flag in zip(("xa", "xb"), flags, strict=True):
+            owned = owned.join(common.select(F.col("w").alias(side), F.lit(True).alias(flag)), side, "left")
+        return owned.na.fill(False, flags)
 
 
 RULES: dict[str, Callable[[list[str], Vocabulary], Column]] = {
@@ -164,10 +168,13 @@ def slot_occupancy(pairs: DataFrame, slot: DataFrame, caps: dict[int, int] | Non
 def fired(owned: DataFrame, rules: list[list[str]], words: Vocabulary | None = None) -> DataFrame:
     """owned with the columns fired (array of names), soft (array of soft names) and dropped; an alias that holds the query's name is never dropped."""
     words = words or Vocabulary()
+    limits = {int(k[4]) for k in rules if k[0] == "typeswap" and len(k) > 4 and int(k[4])}
+    for df_min in limits:
+        owned = words.with_common(owned, df_min)
     drops = [(k[0], F.coalesce(RULES[k[0]](k, words), F.lit(False))) for k in rules if k[0] in RULES]
     names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in drops))) if drops else F.array().cast("array<string>")
     alias_ok = (F.col("b_alias") != "") & (F.size(F.array_except(F.split("a_core", " "), F.split("b_alias", " "))) == 0) if "b_alias" in owned.columns else F.lit(False)
-    return owned.withColumn("fired", names).withColumn("dropped", (F.size("fired") > 0) & ~alias_ok)
+    return owned.withColumn("fired", names).withColumn("dropped", (F.size("fired") > 0) & ~alias_ok).drop(*(f"_{side}_{n}" for side in ("xa", "xb") for n in limits))
 
 
 def protect(judged: DataFrame, pmin: float) -> DataFrame:

@@ -42,6 +42,16 @@ def test_every_rule_is_a_column(spark):
     assert set(E.fired(d, E.parse(spec), words).first()["fired"]) == set(E.RULES) - {"legalhouse", "exactfar", "tiny", "typeins"}
 
 
+def test_swapped_words_have_to_be_common(spark):
+    rows = [(1, "club", "ecole", True), (2, "club", "rare", True), (3, "rare", "ecole", True), (4, "club", "ecole", False), (5, "ste", "ecole", True), (6, None, None, False), (7, "club", "fils", True)]
+    d = spark.createDataFrame(rows, "pid long, xa string, xb string, swap boolean").withColumns({"q": F.lit(1), "p": F.lit(0.4), "a_core": F.lit("a"), "b_core": F.lit("b")})
+    rates = spark.createDataFrame([(w, 200, 10, 0.9) for w in ("ecole", "rare", "fils")], "w string, n_full int, n_empty int, ratio double")
+    frequency = spark.createDataFrame([("club", 60), ("ecole", 50), ("rare", 49), ("ste", 90), ("fils", 90)], "w string, df int")
+    got = E.fired(d, E.parse("typeswap:0.9:0.75:100:50"), E.Vocabulary(rates, frequency))
+    assert {r["pid"] for r in got.where("dropped").collect()} == {1} and got.count() == 7 and set(got.columns) == {*d.columns, "fired", "dropped"}
+    assert E.fired(d, E.parse("typeswap:0.9:0.75:100:50"), E.Vocabulary(rates)).where("dropped").count() == 0
+
+
 def test_relations(spark):
     rows = [("lille club", "lille club", "exact"), ("dupont sa", "dupont s a", "glued"), ("dupont", "dupont s a", "spelled_legal"), ("lille club", "lc", "initials"), ("lille club", "lilleclub", "glued"), ("alpha club", "alpha groupe", "noise_swap"), ("alpha", "alpha et fils", "noise_extra"), ("alpha", "beta", "other")]
     d = spark.createDataFrame(rows, "a_core string, b_core string, want string")
