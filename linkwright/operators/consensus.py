@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import similarity as S
 from .decision import source
 
 HI = 0.5
@@ -45,6 +46,18 @@ def best_other(pairs: DataFrame, value: str = "pid", floor: float = 0.3) -> Data
     return d.withColumn(f"bo_{value}", F.when(ok, F.col("_v"))).withColumn("bo_p", F.when(ok, F.col("_p"))).drop("_r", "_v", "_p")
 
 
+def consensus_text(pairs: DataFrame) -> DataFrame:
+    """(q, pid, cons_name_ratio, cons_name_tset, cons_addr_ratio, cons_addr_tset, bo_p): how alike b_core and b_addr are to those of the query's best other record.
+
+    All are null where no other record exceeds the floor of best_other. The texts travel with their pair, so the features
+    take the one exchange by q and no join back to the pool.
+    """
+    d = best_other(pairs.select("q", "pid", "p", F.struct("b_core", "b_addr").alias("text")), "text")
+    d = d.withColumn("_n", S.measures(F.col("text.b_core"), F.col("bo_text.b_core"), "ratio", "tset")).withColumn("_a", S.measures(F.col("text.b_addr"), F.col("bo_text.b_addr"), "ratio", "tset"))
+    alike = [F.when(F.col("bo_p").isNotNull(), F.col(f"_{c[0]}.{m}")).alias(f"cons_{c}_{m}") for c in ("name", "addr") for m in ("ratio", "tset")]
+    return d.select("q", "pid", *alike, "bo_p")
+
+
 def refined_competition(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """record_competition and entity_consensus on a second scorer's value where it has one; columns end in _x."""
     d = pairs.select("q", "pid", "p").join(scores.select("q", "pid", "xs"), ["q", "pid"], "left").select("q", "pid", F.coalesce("xs", "p").alias("p"))

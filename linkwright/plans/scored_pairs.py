@@ -36,6 +36,10 @@ def best_other_record(spark, sf_dir):
     return C.best_other(_pairs(spark, sf_dir))
 
 
+def consensus_text(spark, sf_dir):
+    return C.consensus_text(adapters.part_links(spark, sf_dir))
+
+
 def refined_competition(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return C.refined_competition(p, p.where(F.pmod("pid", F.lit(2)) == 0).select("q", "pid", (F.lit(1.0) - F.col("p")).alias("xs")))
@@ -172,7 +176,7 @@ entity AS (SELECT * EXCLUDE (hi, sum_hi), sum_hi_excl / greatest(n_hi_excl, 1) A
 _XCOLS = "src sum_p_q n_hi_q n_hi_s2 n_hi_s3 rank_p1_q rank_p1_q_src top_p_q gap_top_q sum_hi_excl n_hi_excl sum_p_excl n_hi_same_src_excl mean_hi_excl p rank_p1_pid sum_p_pid n_claim03 n_claim05 max_other_pid margin_pid".split()
 
 QUERIES = {f.__name__: f for f in (
-    assign_exclusive, shortlist, record_competition, entity_consensus, best_other_record, refined_competition, name_mate_support, digit_relations, address_multiplicity, address_group_features,
+    assign_exclusive, shortlist, record_competition, entity_consensus, best_other_record, consensus_text, refined_competition, name_mate_support, digit_relations, address_multiplicity, address_group_features,
     entity_f05, macro_f05, threshold_sweep, best_threshold, capacity_cap, country_thresholds, match_lists, candidate_lists, fold_hash, calibration_bins, expected_calibration_error, logit_blend,
     score_average, partial_rescoring, cross_encoder_band, paired_model_comparison, bootstrap_interval,
 )}
