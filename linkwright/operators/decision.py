@@ -169,15 +169,26 @@ def paired_comparison(a: DataFrame, b: DataFrame, universe: DataFrame, threshold
     return d.agg(F.count("*").alias("entities"), n(F.col("fb") > F.col("fa")).alias("b_better"), n(F.col("fb") < F.col("fa")).alias("a_better"), (F.sum(F.col("fb") - F.col("fa")) / F.count("*") / 1e9).alias("delta"))
 
 
-def bootstrap(values: DataFrame, column: str, rounds: int = 200, seed: int = 0) -> DataFrame:
+#: The prime field of the resampling weights.
+FIELD = 2_147_483_647
+#: A uniform number of the field above the k-th of these has a Poisson(1) weight of more than k.
+CUTS = [int(FIELD * c) for c in np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(7)])]
+
+
+def bootstrap(values: DataFrame, column: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """(mean, lo, hi): a 95% Poisson-bootstrap interval of a column's mean, in one distributed pass.
 
-    Each row gets a Poisson(1) weight in every round by its own hash; only the rounds' sums leave the executors.
+    Each row gets a Poisson(1) weight in every round by a polynomial of its q over a prime field, whose constants are the
+    round's; only the rounds' sums leave the executors. Values are counted in whole billionths, so sums are exact.
     """
-    cuts = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(7)]).tolist()
-    u = F.pmod(F.xxhash64("q", F.col("_r"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in cuts])
-    rows = values.select("q", column).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", weight)
-    means = rows.groupBy("_r").agg((F.sum(F.col("_w") * F.col(column)) / F.sum("_w")).alias("m"))
+    field = F.lit(FIELD).cast("bigint")
+    step = lambda x, y: (F.col(x) * F.col(x) + y) % field
+    d = values.select(F.pmod(F.col("q").cast("bigint"), field).alias("_q"), F.round(F.col(column) * 1e9).cast("bigint").alias("_v"))
+    d = d.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_x", (F.col("_r") + 1000 * seed) * 48_271 % field)
+    for new, square, plus in (("_a", "_x", F.lit(69_621)), ("_b", "_a", F.col("_x"))):
+        d = d.withColumn(new, step(square, plus))
+    d = d.withColumn("_h", (F.col("_q") * F.col("_a") + F.col("_b")) % field).withColumn("_s", step("_h", F.col("_a"))).withColumn("_u", (F.col("_s") * F.col("_b") + F.col("_h")) % field)
+    weight = reduce(lambda a, b: a + b, [(F.col("_u") >= c).cast("bigint") for c in CUTS])
+    means = d.withColumn("_w", weight).groupBy("_r").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w") / 1e9).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return values.agg(F.avg(column).alias("mean")).crossJoin(ends)
+    return values.agg((F.sum(F.round(F.col(column) * 1e9).cast("bigint")) / F.count("*") / 1e9).alias("mean")).crossJoin(ends)

@@ -144,7 +144,8 @@ def paired_model_comparison(spark, sf_dir):
 
 
 def bootstrap_interval(spark, sf_dir):
-    return D.bootstrap(D.entity_f(_owned(spark, sf_dir), adapters.universe(spark, sf_dir)), "f")
+    d = D.bootstrap(D.entity_f(_owned(spark, sf_dir), adapters.universe(spark, sf_dir)), "f")
+    return d.select(*(F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")))
 
 
 _P = f"WITH {adapters.PAIRS}"
@@ -217,6 +218,11 @@ ORACLES = {
       FROM links l JOIN n a ON a.rid = l.a_rid JOIN n b ON b.rid = l.b_rid""",
     "entity_f05": f"{_ENT} SELECT q, n_true, n_pred, tp, round(f, 9) AS f FROM e",
     "macro_f05": f"{_ENT} SELECT count(*) AS entities, sum(CAST(round(f * 1000000000) AS BIGINT))::BIGINT / count(*) / 1000000000::DOUBLE AS macro_f FROM e",
+    "bootstrap_interval": f"""{_ENT}, v AS (SELECT q % {D.FIELD} AS q, CAST(round(f * 1000000000) AS BIGINT) AS v FROM e),
+      x AS (SELECT r, r * 48271 % {D.FIELD} AS x FROM range(1, 1001) t(r)), a AS (SELECT *, (x * x + 69621) % {D.FIELD} AS a FROM x), b AS (SELECT *, (a * a + x) % {D.FIELD} AS b FROM a),
+      h AS (SELECT r, v, a, b, (q * a + b) % {D.FIELD} AS h FROM v CROSS JOIN b), u AS (SELECT r, v, (((h * h + a) % {D.FIELD}) * b + h) % {D.FIELD} AS u FROM h),
+      w AS (SELECT r, v, {' + '.join(f'(u >= {c})::BIGINT' for c in D.CUTS)} AS w FROM u), m AS (SELECT r, sum(w * v)::DOUBLE / sum(w)::DOUBLE / 1000000000::DOUBLE AS m FROM w GROUP BY r)
+      SELECT round((SELECT sum(v)::DOUBLE / count(*) / 1000000000::DOUBLE FROM v), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM m""",
     "threshold_sweep": f"{_SWEEP} SELECT * FROM sweep",
     "best_threshold": f"{_SWEEP} SELECT * FROM sweep ORDER BY macro_f DESC, threshold LIMIT 1",
     "capacity_cap": f"{_X} SELECT q, pid, src, p, label FROM own QUALIFY row_number() OVER (PARTITION BY q, src ORDER BY p DESC, pid) <= CASE src WHEN 2 THEN 1 ELSE 2 END",

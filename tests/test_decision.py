@@ -91,6 +91,15 @@ def test_bootstrap_holds_the_mean(spark):
     assert r["lo"] < r["mean"] < r["hi"] and r["hi"] - r["lo"] < 1
 
 
+def test_bootstrap_is_as_wide_as_the_theory_says(spark):
+    rng = np.random.default_rng(3)
+    for step in (1, 7, 1000):
+        f = rng.random(2000)
+        r = D.bootstrap(frame(spark, [(i * step, float(v)) for i, v in enumerate(f)], "q long, f double"), "f").first()
+        wide = 2 * 1.96 * f.std() / np.sqrt(len(f))
+        assert 0.85 < (r["hi"] - r["lo"]) / wide < 1.15 and abs(r["hi"] + r["lo"] - 2 * r["mean"]) < 0.2 * wide
+
+
 def test_gbt_out_of_fold_scores_every_pair(spark):
     rng = np.random.default_rng(4)
     x = rng.random(400)
