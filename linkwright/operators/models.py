@@ -14,6 +14,8 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from .decision import fold_hash
 
+#: Rounds end when the held-out loss falls by less than this.
+EARLY_GAIN = 0.001
 KEYS = ("q", "pid", "label", "fold", "p")
 
 
@@ -28,9 +30,15 @@ def _assembled(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x").transform(filled)
 
 
-def fit(pairs: DataFrame, columns: list[str] | None = None, rounds: int = 20, depth: int = 5, seed: int = 13) -> tuple[GBTClassificationModel, list[str]]:
+def fit(pairs: DataFrame, columns: list[str] | None = None, rounds: int = 20, depth: int = 5, seed: int = 13, held: int = 0) -> tuple[GBTClassificationModel, list[str]]:
+    """Boosted trees and their columns. With held, every held-th query by hash is kept out, and rounds end early once its pairs gain no more."""
     columns = columns or feature_columns(pairs)
-    return GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(_assembled(pairs, columns)), columns
+    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    if held:
+        # another hash than that of the folds, so that every fold has queries on either side
+        pairs = pairs.withColumn("_held", F.pmod(F.xxhash64("q", F.lit("held")), F.lit(held)) == 0)
+        trees = trees.setValidationIndicatorCol("_held").setParams(validationTol=EARLY_GAIN)
+    return trees.fit(_assembled(pairs, columns)), columns
 
 
 def predict(model: GBTClassificationModel, columns: list[str], pairs: DataFrame) -> DataFrame:
@@ -38,13 +46,13 @@ def predict(model: GBTClassificationModel, columns: list[str], pairs: DataFrame)
     return out.withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", "p1").select(*(c for c in pairs.columns if c not in columns and c != "p"), "p")
 
 
-def out_of_fold(pairs: DataFrame, folds: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
+def out_of_fold(pairs: DataFrame, folds: int = 5, rounds: int = 20, depth: int = 5, held: int = 0) -> DataFrame:
     """Pairs with p from a model that saw none of their query's pairs: all pairs of a query share a fold."""
     d = pairs.withColumn("fold", fold_hash(F.col("q"), folds))
     columns = feature_columns(pairs)
     parts = []
     for f in range(folds):
-        model, _ = fit(d.where(F.col("fold") != f), columns, rounds, depth)
+        model, _ = fit(d.where(F.col("fold") != f), columns, rounds, depth, held=held)
         parts.append(predict(model, columns, d.where(F.col("fold") == f)))
     return reduce(DataFrame.unionByName, parts)
 

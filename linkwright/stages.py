@@ -156,7 +156,7 @@ class Run:
         path = self.path(f"model-{name}", "train", p)
         if self.done(f"{path}/gbt/metadata"):
             return GBTClassificationModel.load(f"{path}/gbt"), self.spark.read.json(f"{path}/config").first()["features"]
-        model, columns = M.fit(pairs, rounds=p["rounds"], depth=p["depth"])
+        model, columns = M.fit(pairs, rounds=p["rounds"], depth=p["depth"], held=p.get("held", 0))
         model.write().overwrite().save(f"{path}/gbt")
         self.spark.createDataFrame([(columns,)], "features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/config")
         return model, columns
@@ -172,7 +172,7 @@ class Run:
             model, columns = self._fitted(stage, train)
             if split != "train":
                 return M.predict(model, columns, d).select("q", "pid", "p")
-            own = M.out_of_fold(train, p["folds"], p["rounds"], p["depth"]).select("q", "pid", "p", "label")
+            own = M.out_of_fold(train, p["folds"], p["rounds"], p["depth"], p.get("held", 0)).select("q", "pid", "p", "label")
             rest = M.predict(model, columns, d.join(self.splits().where("part = 'train'").select("q"), "q", "left_anti")).select("q", "pid", "p", "label")
             return own.unionByName(rest)
 

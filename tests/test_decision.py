@@ -100,6 +100,14 @@ def test_bootstrap_is_as_wide_as_the_theory_says(spark):
         assert 0.85 < (r["hi"] - r["lo"]) / wide < 1.15 and abs(r["hi"] + r["lo"] - 2 * r["mean"]) < 0.2 * wide
 
 
+def test_rounds_end_early_where_nothing_is_left_to_learn(spark):
+    rng = np.random.default_rng(6)
+    noise = frame(spark, [(i, i, float(rng.random()), int(rng.random() > 0.5)) for i in range(600)], "q long, pid long, x double, label int")
+    model, columns = M.fit(noise, rounds=15, depth=3, held=4)
+    assert columns == ["x"] and model.getNumTrees < 15 and M.fit(noise, rounds=15, depth=3)[0].getNumTrees == 15
+    assert M.predict(model, columns, noise).count() == 600
+
+
 def test_gbt_out_of_fold_scores_every_pair(spark):
     rng = np.random.default_rng(4)
     x = rng.random(400)
