@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import TYPES, BlockParams
 
+#: Pairs of a query and a token's posting that a round of scoring exchanges, for each query of all.
+PAIRS_A_QUERY = 500
+
 
 def base_tokens(records: DataFrame, id_col: str, prm: BlockParams = BlockParams()) -> DataFrame:
     """Distinct (id, typ, w): name words (n), address words (a) and prefixes of long words (p)."""
@@ -66,8 +69,9 @@ def pool_index(pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable
     keep = keep or (lambda _, df: df)
     base = keep("base", base_tokens(pool, "pid", prm))
     base_df = keep("base_df", document_frequency(tagged(base)))
-    postings = keep("postings", tagged(base).union(tagged(composites(base, base_df, prm))))
-    return postings, base_df, keep("df", document_frequency(postings))
+    pairs = keep("pairs", tagged(composites(base, base_df, prm)))
+    # no base token is a composite one, so that the frequencies of both stand side by side
+    return tagged(base).union(pairs), base_df, base_df.union(keep("pairs_df", document_frequency(pairs)))
 
 
 def query_tokens(queries: DataFrame, base_df: DataFrame, df: DataFrame, n_pool: int | Column, prm: BlockParams = BlockParams()) -> DataFrame:
@@ -82,9 +86,13 @@ def query_tokens(queries: DataFrame, base_df: DataFrame, df: DataFrame, n_pool:
     return every.join(kept, ["tok", "typ"]).withColumn("rk", rank).where(F.col("rk") <= limit).select(F.col("id").alias("q"), "typ", "tok", "df", idf.alias("idf"))
 
 
-def score(qtok: DataFrame, postings: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
-    """(q, pid, score, ns, s_<type>...): IDF sums over shared tokens. The cap on frequencies bounds every join key's fan-out."""
-    shared = qtok.where(F.col("typ").isin(*types)).select("q", "typ", "tok", "idf").join(postings.select(F.col("id").alias("pid"), "tok"), "tok")
+def shared_tokens(qtok: DataFrame, postings: DataFrame) -> DataFrame:
+    """A row for each token that a query and a pool record share. The cap on frequencies bounds every join key's fan-out."""
+    return qtok.select("q", "typ", "tok", "idf").join(postings.select(F.col("id").alias("pid"), "tok"), "tok")
+
+
+def score(shared: DataFrame) -> DataFrame:
+    """(q, pid, score, ns, s_<type>...): IDF sums over shared tokens (q, pid, typ, idf)."""
     by_type = [F.coalesce(F.sum(F.when(F.col("typ") == t, F.col("idf"))), F.lit(0)).alias(f"s_{t}") for t in TYPES]
     return shared.groupBy("q", "pid").agg(F.sum("idf").alias("score"), F.count("*").alias("ns"), *by_type)
 
@@ -95,10 +103,35 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
 
 
+def token_lists(qtok: DataFrame, postings: DataFrame) -> DataFrame:
+    """(tok, pids) of the tokens that queries ask for. The cap on frequencies bounds every list."""
+    asked = postings.join(qtok.select("tok").distinct(), "tok", "left_semi")
+    return asked.groupBy("tok").agg(F.sort_array(F.collect_list("id")).alias("pids"))
+
+
+def score_lists(qtok: DataFrame, lists: DataFrame) -> DataFrame:
+    """What score() returns, of whole lists: they meet at their query before they become rows, and no pair is exchanged."""
+    met = qtok.join(lists, "tok").select("q", "typ", "idf", "pids").repartition("q")
+    return score(met.select("q", "typ", "idf", F.explode("pids").alias("pid")))
+
+
 def block(queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The k best candidates of each query.
+
+    With keep, queries are scored in rounds of about PAIRS_A_QUERY pairs for each query of all, so that what is exchanged
+    at a time stays in proportion to the records; every query is in one round. The cap bounds the number of rounds.
+    """
     postings, base_df, df = pool_index(pool, prm, keep)
     n_pool = pool.count()
-    return top_k(score(query_tokens(queries, base_df, df, n_pool, prm), postings, prm.types), prm.k)
+    qtok = query_tokens(queries, base_df, df, n_pool, prm).where(F.col("typ").isin(*prm.types))
+    if not keep:
+        return top_k(score(shared_tokens(qtok, postings)), prm.k)
+    qtok = keep("qtok", qtok)
+    lists = keep("lists", token_lists(qtok, postings))
+    total = qtok.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs"), F.countDistinct("q").alias("queries")).first()
+    rounds = max(1, -(-total["pairs"] // max(1, PAIRS_A_QUERY * total["queries"])))
+    turn = F.pmod(F.xxhash64("q", F.lit("round")), F.lit(rounds))
+    return reduce(DataFrame.union, [keep(f"best{i}", top_k(score_lists(qtok.where(turn == i), lists), prm.k)) for i in range(rounds)])
 
 
 def found_pairs(truth: DataFrame, candidates: DataFrame) -> DataFrame:
