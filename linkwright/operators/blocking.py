@@ -11,6 +11,8 @@ from ..params import TYPES, BlockParams
 
 #: Pairs of a query and a token's posting that a round of scoring exchanges, for each query of all.
 PAIRS_A_QUERY = 500
+#: Tokens over the frequency cap that are sent to all tasks.
+MOST_FREQUENT = 20_000
 
 
 def base_tokens(records: DataFrame, id_col: str, prm: BlockParams = BlockParams()) -> DataFrame:
@@ -39,9 +41,15 @@ def composites(base: DataFrame, base_df: DataFrame, prm: BlockParams = BlockPara
     Rarity is the frequency in the pool; a word that the pool lacks takes no part. One window ranks all words of a
     record, and the few words that count are combined within its row.
     """
-    # one pass and one exchange by record: words that the pool lacks stay for the digits of h, and rank behind all others
-    seen = base.where("typ IN ('n', 'a')").join(base_df.select("typ", F.expr("substring(tok, 3)").alias("w"), "df"), ["typ", "w"], "left")
     digit, known = F.col("w").rlike("[0-9]"), F.col("df").isNotNull()
+    # one pass and one exchange by record: words that the pool lacks stay for the digits of h, and rank behind all others
+    plain_words, freq = base.where("typ IN ('n', 'a')"), base_df.select("typ", F.expr("substring(tok, 3)").alias("w"), "df")
+    # the commonest words get their frequency where they are, and only a record's rarest of them are exchanged; digits go the long way, for h
+    most = F.broadcast(freq.where("typ IN ('n', 'a')").where((F.col("df") > prm.cap_df) & ~F.col("w").rlike("[0-9]")).orderBy(F.desc("df"), "typ", "w").limit(MOST_FREQUENT))
+    deep = max(prm.comp_name, prm.comp_addr, prm.comp_m, prm.comp_d, prm.comp_h)
+    few = F.row_number().over(Window.partitionBy("id", "typ").orderBy("df", "w"))
+    common = plain_words.join(most, ["typ", "w"]).withColumn("few", few).where(F.col("few") <= deep).drop("few")
+    seen = common.unionByName(plain_words.join(most, ["typ", "w"], "left_anti").join(freq, ["typ", "w"], "left"))
     rare = [F.col("df").asc_nulls_last(), F.col("w")]
     order, plain = Window.partitionBy("id", "typ").orderBy(*rare), Window.partitionBy("id", "typ", digit).orderBy(*rare)
     ranked = seen.withColumn("rk", F.when(known, F.row_number().over(order))).withColumn("rw", F.when(known & ~digit, F.row_number().over(plain)))
@@ -74,16 +82,17 @@ def pool_index(pool: DataFrame, prm: BlockParams = BlockParams(), keep: Callable
     return tagged(base).union(pairs), base_df, base_df.union(keep("pairs_df", document_frequency(pairs)))
 
 
-def query_tokens(queries: DataFrame, base_df: DataFrame, df: DataFrame, n_pool: int | Column, prm: BlockParams = BlockParams()) -> DataFrame:
-    """(q, typ, tok, df, idf): the rarest tokens of each query and type below the frequency cap."""
-    base = base_tokens(queries, "q", prm)
+def query_tokens(queries: DataFrame, base_df: DataFrame, df: DataFrame, n_pool: int | Column, prm: BlockParams = BlockParams(), base: DataFrame | None = None) -> DataFrame:
+    """(q, typ, tok, df, idf): the rarest tokens of each query and type below the frequency cap. base: the queries' base tokens, if stored."""
+    base = base or base_tokens(queries, "q", prm)
     every = tagged(base).union(tagged(composites(base, base_df, prm)))
     kept = df.where(F.col("df") <= prm.cap_df)
     limit = reduce(lambda c, k: c.when(F.col("typ") == k, prm.per_type[k]), prm.per_type, F.when(F.lit(False), 0)).otherwise(0)
     rank = F.row_number().over(Window.partitionBy("id", "typ").orderBy("df", "tok"))
     n = F.lit(n_pool) if isinstance(n_pool, int) else n_pool
     idf = F.round(F.log(n.cast("double") / F.col("df")) * prm.scale).cast("bigint")
-    return every.join(kept, ["tok", "typ"]).withColumn("rk", rank).where(F.col("rk") <= limit).select(F.col("id").alias("q"), "typ", "tok", "df", idf.alias("idf"))
+    every = every.join(over_cap(base_df, prm), "tok", "left_anti").join(kept, ["tok", "typ"])
+    return every.withColumn("rk", rank).where(F.col("rk") <= limit).select(F.col("id").alias("q"), "typ", "tok", "df", idf.alias("idf"))
 
 
 def shared_tokens(qtok: DataFrame, postings: DataFrame) -> DataFrame:
@@ -103,9 +112,14 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
 
 
-def token_lists(qtok: DataFrame, postings: DataFrame) -> DataFrame:
+def over_cap(df: DataFrame, prm: BlockParams = BlockParams()) -> DataFrame:
+    """The at most MOST_FREQUENT commonest tokens over the cap: sent to all tasks, they save most tokens an exchange that would only drop them."""
+    return F.broadcast(df.where(F.col("df") > prm.cap_df).orderBy(F.desc("df"), "tok").limit(MOST_FREQUENT).select("tok"))
+
+
+def token_lists(qtok: DataFrame, postings: DataFrame, frequent: DataFrame) -> DataFrame:
     """(tok, pids) of the tokens that queries ask for. The cap on frequencies bounds every list."""
-    asked = postings.join(qtok.select("tok").distinct(), "tok", "left_semi")
+    asked = postings.select("id", "tok").join(frequent, "tok", "left_anti").join(qtok.select("tok").distinct(), "tok", "left_semi")
     return asked.groupBy("tok").agg(F.sort_array(F.collect_list("id")).alias("pids"))
 
 
@@ -123,11 +137,12 @@ def block(queries: DataFrame, pool: DataFrame, prm: BlockParams = BlockParams(),
     """
     postings, base_df, df = pool_index(pool, prm, keep)
     n_pool = pool.count()
-    qtok = query_tokens(queries, base_df, df, n_pool, prm).where(F.col("typ").isin(*prm.types))
+    own = keep("query_base", base_tokens(queries, "q", prm)) if keep else None
+    qtok = query_tokens(queries, base_df, df, n_pool, prm, own).where(F.col("typ").isin(*prm.types))
     if not keep:
         return top_k(score(shared_tokens(qtok, postings)), prm.k)
     qtok = keep("qtok", qtok)
-    lists = keep("lists", token_lists(qtok, postings))
+    lists = keep("lists", token_lists(qtok, postings, over_cap(base_df, prm)))
     total = qtok.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs"), F.countDistinct("q").alias("queries")).first()
     rounds = max(1, -(-total["pairs"] // max(1, PAIRS_A_QUERY * total["queries"])))
     turn = F.pmod(F.xxhash64("q", F.lit("round")), F.lit(rounds))

@@ -34,3 +34,15 @@ def test_rounds_find_what_one_pass_finds(spark, monkeypatch, tmp_path):
     assert stored["lists"].agg(F.max(F.size("pids"))).first()[0] <= prm.cap_df
     assert stored["lists"].count() == stored["qtok"].select("tok").distinct().count()
     assert stored["pairs"].where("typ IN ('n', 'a', 'p')").count() == 0
+
+
+def test_common_words_rank_as_in_one_exchange(spark, monkeypatch):
+    """Words over the cap, with and without digits, all or some of them sent to the tasks."""
+    pool = records(spark, 90, "pid", 5)
+    rows = {}
+    for cap, most in ((800, 20_000), (12, 20_000), (12, 3), (0, 20_000)):
+        monkeypatch.setattr(B, "MOST_FREQUENT", most)
+        prm = BlockParams(cap_df=cap)
+        base = B.base_tokens(pool, "pid", prm)
+        rows[cap, most] = sorted(map(tuple, B.composites(base, B.document_frequency(B.tagged(base)), prm).collect()))
+    assert rows[800, 20_000] and all(r == rows[800, 20_000] for r in rows.values())
