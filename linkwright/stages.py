@@ -189,7 +189,7 @@ class Run:
             blocks = [
                 C.record_competition(C.entity_consensus(s)), C.digit_relations(text).drop("p", "a_addr", "b_addr"), P.decoy_features(text).drop("p", "a_core", "b_core", "a_addr", "b_addr"),
                 C.address_group_features(text.select("q", "pid", "a_addr", "b_addr").join(n(q, "q", "a_addr_n"), "q").join(n(b, "pid", "b_addr_n"), "pid")).drop("a_addr", "b_addr"),
-                W.cosine(s.select("q", "pid"), *W.weights(q, b, W.char_terms(F.col("core1"))), "tf_name_cos"), W.cosine(s.select("q", "pid"), *W.weights(q, b, W.word_terms(F.col("addr"))), "tf_addr_cos"),
+                W.cosine(s.select("q", "pid"), q, b, W.char_terms(F.col("core1")), "tf_name_cos"), W.cosine(s.select("q", "pid"), q, b, W.word_terms(F.col("addr")), "tf_addr_cos"),
                 W.language_free(s, q, b), C.consensus_text(text), self.features(split).drop("label"),
             ]
             d = blocks[0].withColumnRenamed("p", "p_first")
